@@ -126,13 +126,13 @@ def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool) -> D
         queries.join(sizes, "key")
         .withColumn("qp", part("query_id", "query_parts"))
         .withColumn("bp", all_parts("base_parts"))
-        .select("key", "bp", "qp", "query_id", "vector")
+        .select("key", "bp", "qp", "query_id", F.col("vector").alias("asked"))
     )
 
     def cell(rows: pa.Table, asked: pa.Table) -> pa.Table:
         id_type = rows.schema.field("id").type
         block = asked.column("query_id").combine_chunks()
-        matrix = topk.vectors(asked.column("vector"), bits) if asked.num_rows else np.empty((0, 0))
+        matrix = topk.vectors(asked.column("asked"), bits) if asked.num_rows else np.empty((0, 0))
         best = topk.Best(matrix, k, metric)
         if rows.num_rows and asked.num_rows:
             best.offer(topk.keys(rows.column("id")), decode(rows.column("vector")))
