@@ -93,7 +93,7 @@ def _register_precision(kind):
     @query(f"reduce_precision_{kind}", f"select id, pos, round(coalesce(y, 0), 9) as y from ({_reduced_sql(kind)})")
     def reduce(spark, sf_dir):
         rows = vectors(spark, sf_dir).select("id", metrics.reduced("vector", kind).alias("v"))
-        return rows.select("id", F.posexplode("v").alias("pos", "y")).select(
+        return rows.select("id", F.posexplode_outer("v").alias("pos", "y")).select(
             "id", "pos", F.round(F.col("y").cast("double"), 9).alias("y")
         )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from registry.common import SCALED, as_queries, query, ranked_sql, scaled, vectors
+from vectable import session
 from vectable.operators import dense, graph
 
 M, DEGREE, K = 16, 8, 10
@@ -36,19 +37,19 @@ def prune_graph(spark, sf_dir):
 
 @query("nn_descent")
 def nn_descent(spark, sf_dir):
-    return graph.nn_descent(vectors(spark, sf_dir), M, pool=64, iterations=6)
+    return graph.nn_descent(vectors(spark, sf_dir), M, pool=48, iterations=6, fan=24)
 
 
 @query("graph_search")
 def graph_search(spark, sf_dir):
     base = vectors(spark, sf_dir).select("id", "vector")
-    edges = graph.both_ways(graph.knn_graph(base, M), 2 * M)
-    return graph.graph_search(edges, base, as_queries(base), K, ef=64)
+    edges = session.cut(graph.both_ways(graph.knn_graph(base, M), M))
+    return graph.graph_search(edges, base, as_queries(base), K, ef=32)
 
 
 @query("graph_search_recall")
 def graph_search_recall(spark, sf_dir):
     base = vectors(spark, sf_dir).select("id", "vector")
-    edges = graph.both_ways(graph.nn_descent(base, M, pool=64, iterations=6), 2 * M)
-    found = graph.graph_search(edges, base, as_queries(base), K, ef=64)
+    edges = session.cut(graph.both_ways(graph.nn_descent(base, M, pool=48, iterations=6, fan=24), M))
+    found = graph.graph_search(edges, base, as_queries(base), K, ef=32)
     return dense.recall(found, dense.knn(base, as_queries(base), K, "L2"), K)

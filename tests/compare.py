@@ -52,7 +52,7 @@ def main(sf_dir: str, names: list[str]) -> int:
 
     spark = (
         SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
-        .config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        .config("spark.driver.memory", "12g").config("spark.sql.shuffle.partitions", "8").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     queries, sql, failed = entry.queries(), entry.oracle_sql(), 0
@@ -67,6 +67,9 @@ def main(sf_dir: str, names: list[str]) -> int:
                 continue
             at = time.time()
             want = con.execute(sql[name]).df()
+            kinds = [(c, str(got[c].dtype), str(want[c].dtype)) for c in got.columns if got[c].dtype != want[c].dtype]
+            if kinds:
+                print("   types:", kinds)
             bad = difference(got, want)
             print(f"{name:28} rows {len(got):7} {took:6.2f}s  sql {time.time() - at:5.2f}s  {bad or 'ok'}", flush=True)
             failed += bool(bad)

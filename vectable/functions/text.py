@@ -16,6 +16,21 @@ def tokens(col: Column | str) -> Column:
     return F.array_remove(F.split(F.lower(col), SEPARATOR), "")
 
 
+def one_per_row(df: DataFrame, items: Column | str, *keep: str | Column, name: str = "term") -> DataFrame:
+    """One row per array item, with the ``keep`` columns; items are never null.
+
+    The outer form with a filter behind it: the plain form makes the optimizer
+    repeat the whole text expression in a filter at the scan.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
+def placed_per_row(df: DataFrame, items: Column | str, *keep: str | Column, name: str = "term") -> DataFrame:
+    """As ``one_per_row``, with the position ``pos`` of each item, from 0."""
+    rows = df.select(*keep, F.posexplode_outer(items).alias("pos", name))
+    return rows.filter(F.col(name).isNotNull())
+
+
 def shingles(df: DataFrame, text: str, n: int, out: str = "shingles") -> DataFrame:
     """Add the distinct word n-grams of a text; none for texts of fewer than n words."""
     words = df.withColumn("_words", F.coalesce(tokens(text), F.array().cast("array<string>")))

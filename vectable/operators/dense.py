@@ -61,9 +61,9 @@ def recall(result: DataFrame, truth: DataFrame, k: int) -> DataFrame:
 def precision_report(df: DataFrame, vector_col: str, kind: str) -> DataFrame:
     """(pos, max_error, mean_error): what rounding to f16 or bf16 changes per dimension."""
     both = df.select(F.col(vector_col).alias("v"), metrics.reduced(vector_col, kind).alias("r"))
-    gaps = both.select(F.posexplode(F.arrays_zip("v", "r")).alias("pos", "e")).select(
+    gaps = both.select(F.posexplode_outer(F.arrays_zip("v", "r")).alias("pos", "e")).select(
         "pos", F.abs(F.col("e.v").cast("double") - F.col("e.r").cast("double")).alias("gap")
-    )
+    ).filter(F.col("gap").isNotNull())
     return gaps.groupBy("pos").agg(
         F.round(F.max("gap"), 9).alias("max_error"), F.round(F.avg("gap"), 9).alias("mean_error")
     )

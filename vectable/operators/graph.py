@@ -29,7 +29,11 @@ def knn_graph(base: DataFrame, m: int = GRAPH_M, metric: str = "L2", **options)
 
 
 def _list_pairs(lists: DataFrame, m: int, metric: str, id_type: str) -> DataFrame:
-    """Scored edges between the members of each (ids, vectors) row, m best per member."""
+    """Scored edges between the members of each row, m best per member.
+
+    Only edges that can still enter the member's pool: cost within its ``limit``.
+    """
+    sign = 1.0 if topk.ASCENDING[metric] else -1.0
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -37,11 +41,12 @@ def _list_pairs(lists: DataFrame, m: int, metric: str, id_type: str) -> DataFram
             for i in range(batch.num_rows):
                 ids = batch.column("ids")[i].values
                 rows = topk.vectors(batch.column("vectors")[i].values)
+                limits = batch.column("limits")[i].values.to_numpy(zero_copy_only=False)
                 best = topk.Best(rows, m + 1, metric)
                 best.offer(np.arange(len(rows)), rows)
                 src, dst, score = best.rows()
-                away = src != dst
-                out.append((ids.take(pa.array(src[away])), ids.take(pa.array(dst[away])), score[away]))
+                keep = (src != dst) & (sign * score <= limits[src])
+                out.append((ids.take(pa.array(src[keep])), ids.take(pa.array(dst[keep])), score[keep]))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -52,17 +57,21 @@ def _list_pairs(lists: DataFrame, m: int, metric: str, id_type: str) -> DataFram
                     names=["src", "dst", "score"],
                 )
 
-    return lists.select("ids", "vectors").mapInArrow(pairs, f"src {id_type}, dst {id_type}, score double")
+    schema = f"src {id_type}, dst {id_type}, score double"
+    return lists.select("ids", "vectors", "limits").mapInArrow(pairs, schema)
 
 
 def _lists(members: DataFrame, base: DataFrame, center: str) -> DataFrame:
-    """Gather (ids, vectors) per center; callers bound the members of a center."""
+    """Gather members with their vectors per center; callers bound the members of a center."""
     gathered = (
-        members.join(base.select("id", "vector"), "id")
+        members.join(base, "id")
         .groupBy(center)
-        .agg(F.collect_list(F.struct("id", "vector")).alias("l"))
+        .agg(F.collect_list(F.struct("id", "vector", "limit")).alias("l"))
+        .filter(F.size("l") > 1)
+    )
+    return gathered.select(
+        F.col("l.id").alias("ids"), F.col("l.vector").alias("vectors"), F.col("l.limit").alias("limits")
     )
-    return gathered.select(F.col("l.id").alias("ids"), F.col("l.vector").alias("vectors"))
 
 
 def nn_descent(
@@ -72,7 +81,7 @@ def nn_descent(
     iterations: int = 8,
     metric: str = "L2",
     fan: int | None = None,
-    stop: float = 0.002,
+    stop: float = 0.01,
 ) -> DataFrame:
     """Approximate ``knn_graph``: neighbours of neighbours, round by round.
 
@@ -80,35 +89,43 @@ def nn_descent(
     ``fan`` best neighbours and ``fan`` of the rows that point to it, and these
     are scored against each other. Stops when few of the m best edges change.
     """
-    base = session.cut(session.spread(base.select("id", "vector").filter(F.col("vector").isNotNull())))
-    fan, id_type, rows = fan or 2 * m, base.schema["id"].dataType.simpleString(), base.count()
+    stored = session.stored(base.select("id", "vector").filter(F.col("vector").isNotNull()), "vectors")
+    base = session.spread(stored)
+    fan, pool = fan or m, max(pool, m)
+    id_type, rows = base.schema["id"].dataType.simpleString(), stored.count()
     groups = max(1, rows // (2 * m))
+    sign = F.lit(1.0 if topk.ASCENDING[metric] else -1.0)
+    open_base = base.withColumn("limit", F.lit(float("inf")))
     # Random groups of about 2m rows by hash: a first, rough graph.
     starts = [
-        _lists(base.select("id", F.pmod(F.xxhash64("id", F.lit(r)), F.lit(groups)).alias("g")), base, "g")
+        _lists(base.select("id", F.pmod(F.xxhash64("id", F.lit(r)), F.lit(groups)).alias("g")), open_base, "g")
         for r in range(2)
     ]
     first = _list_pairs(starts[0].unionByName(starts[1]), m, metric, id_type)
     edges = session.cut(_best_edges(first.distinct(), pool, metric))
+    best_first = F.col("score").asc() if topk.ASCENDING[metric] else F.col("score").desc()
+    place = F.row_number().over(Window.partitionBy("src").orderBy(best_first, "dst"))
     for turn in range(iterations):
-        out = edges.filter(F.col("rank") <= fan).select(F.col("src").alias("c"), F.col("dst").alias("id"))
+        top = edges.filter(F.col("rank") <= fan)
+        out = top.select(F.col("src").alias("c"), F.col("dst").alias("id"))
         drawn = Window.partitionBy("dst").orderBy(F.xxhash64("src", "dst", F.lit(turn)), "src")
         back = (
-            edges.filter(F.col("rank") <= fan)
-            .withColumn("drawn", F.row_number().over(drawn))
+            top.withColumn("drawn", F.row_number().over(drawn))
             .filter(F.col("drawn") <= fan)
             .select(F.col("dst").alias("c"), F.col("src").alias("id"))
         )
         near = out.unionByName(back).distinct()
-        tried = _list_pairs(_lists(near, base, "c"), m, metric, id_type)
+        full = edges.filter(F.col("rank") == pool).select(
+            F.col("src").alias("id"), (sign * F.col("score")).alias("limit")
+        )
+        limited = base.join(full, "id", "left").na.fill(float("inf"), ["limit"])
+        tried = _list_pairs(_lists(near, limited, "c"), m, metric, id_type)
         merged = (
             edges.select("src", "dst", "score", F.lit(0).alias("new"))
             .unionByName(tried.withColumn("new", F.lit(1)))
             .groupBy("src", "dst")
             .agg(F.first("score").alias("score"), F.min("new").alias("new"))
         )
-        best_first = F.col("score").asc() if topk.ASCENDING[metric] else F.col("score").desc()
-        place = F.row_number().over(Window.partitionBy("src").orderBy(best_first, "dst"))
         edges = session.cut(merged.withColumn("rank", place).filter(F.col("rank") <= pool))
         changed = edges.filter(F.col("rank") <= m).agg(F.sum("new"), F.count("*")).first()
         if not changed[1] or changed[0] / changed[1] < stop:
@@ -150,25 +167,35 @@ def graph_search(
     queries: DataFrame,
     k: int,
     ef: int = 64,
-    hops: int = 16,
+    hops: int = 64,
     metric: str = "L2",
     entries: int = 32,
+    width: int = 16,
 ) -> DataFrame:
     """Beam search along the edges for all queries at once, one set of joins per hop.
 
     Each query keeps its ``ef`` best rows; every hop scores the neighbours of
-    those not yet expanded. Ends when no beam has an unexpanded row.
+    the ``width`` best that are not yet expanded. Ends when no beam has one.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
     base = base.select("id", "vector").filter(F.col("vector").isNotNull())
     starts = base.orderBy(F.xxhash64("id"), "id").limit(entries)
     asked = queries.select("query_id", F.col("vector").alias("asked"))
-    beam = search(starts, queries, ef, metric).select("query_id", "id", "score")
-    beam = session.cut(beam.withColumn("expanded", F.lit(False)))
     links = edges.select(F.col("src").alias("id"), "dst")
+    best_first = F.col("score").asc() if topk.ASCENDING[metric] else F.col("score").desc()
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(best_first, "id"))
+    turn = F.row_number().over(Window.partitionBy("query_id", "expanded").orderBy(best_first, "id"))
+
+    def step(rows: DataFrame) -> DataFrame:
+        kept = rows.withColumn("place", place).filter(F.col("place") <= ef)
+        marked = kept.withColumn("next", ~F.col("expanded") & (turn <= width))
+        return session.cut(marked.select("query_id", "id", "score", "expanded", "next"))
+
+    first = search(starts, queries, ef, metric).select("query_id", "id", "score")
+    beam = step(first.withColumn("expanded", F.lit(False)))
     for _ in range(hops):
-        frontier = beam.filter(~F.col("expanded")).select("query_id", "id")
+        frontier = beam.filter("next").select("query_id", "id")
         if frontier.isEmpty():
             break
         fresh = (
@@ -183,10 +210,6 @@ def graph_search(
             .filter(F.col("score").isNotNull())
             .withColumn("expanded", F.lit(False))
         )
-        best_first = F.col("score").asc() if topk.ASCENDING[metric] else F.col("score").desc()
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy(best_first, "id"))
-        beam = session.cut(
-            beam.withColumn("expanded", F.lit(True)).unionByName(scored)
-            .withColumn("place", place).filter(F.col("place") <= ef).drop("place")
-        )
+        seen = beam.select("query_id", "id", "score", (F.col("expanded") | F.col("next")).alias("expanded"))
+        beam = step(seen.unionByName(scored))
     return top_ranked(beam, k, metric)

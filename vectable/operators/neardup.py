@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectable import session
-from vectable.functions.text import shingles, tokens
+from vectable.functions.text import one_per_row, shingles, tokens
 from vectable.operators.search import top_ranked
 
 BANDS = 8  # fixed value: declared parameter
@@ -29,9 +29,17 @@ def minhash(df: DataFrame, num_hash: int = NUM_HASH) -> DataFrame:
     All minima are one hash aggregation; each task combines the shingles of its
     own texts before the shuffle.
     """
-    hashed = df.select("id", F.explode("shingles").alias("s")).select(
-        "id", F.conv(F.substring(F.md5(F.col("s").cast("binary")), 1, 7), 16, 10).cast("bigint").alias("h")
+    prefix = F.substring(F.md5(F.col("s").cast("binary")), 1, 7)
+    return _signatures(
+        one_per_row(df, "shingles", "id", name="s").select(
+            "id", F.conv(prefix, 16, 10).cast("bigint").alias("h")
+        ),
+        num_hash,
     )
+
+
+def _signatures(hashed: DataFrame, num_hash: int) -> DataFrame:
+    """Signatures of (id, h) rows, h below 2^28."""
     minima = [
         F.min((F.lit(a) * F.col("h") + F.lit(b)) % F.lit(PRIME)).alias(f"m{i}")
         for i, (a, b) in enumerate(hash_parameters(num_hash))
@@ -96,18 +104,20 @@ def near_duplicates(
     texts = session.spread(df.select("id", F.coalesce("text", F.lit("")).alias("text")))
     grams = shingles(texts, "text", n)
     whole = F.array(F.array_join(tokens("text"), " "))
-    sets = grams.select(
-        "id", F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(whole).alias("shingles")
-    )
-    marked = session.cut(
-        sets.withColumn("mark", F.sha2(F.concat_ws("\u0001", F.sort_array("shingles")), 256))
+    grams = grams.withColumn("shingles", F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(whole))
+    # A shingle is kept as the first 60 bits of its md5; the top 28 feed the signature.
+    as_number = F.transform(
+        "shingles", lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 15), 16, 10).cast("bigint")
     )
+    sets = session.stored(grams.select("id", F.sort_array(as_number).alias("shingles")), "shingles")
+    marked = sets.select("id", F.sha2(F.array_join(F.col("shingles").cast("array<string>"), ","), 256).alias("mark"))
     folded = marked.groupBy("mark").agg(F.min("id").alias("rep"))
-    copies = marked.select("id", "mark").join(folded, "mark").select("id", "rep")
-    own = marked.join(folded.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "shingles")
-    own = session.cut(own)
-    banded = band_keys(minhash(own, num_hash), num_hash, bands)
-    members = session.cut(banded.join(_buckets(banded).select("band", "key", "n"), ["band", "key"]))
+    copies = session.stored(marked.join(folded, "mark").select("id", "rep"), "copies")
+    own = sets.join(copies.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
+    hashed = one_per_row(own, "shingles", "id", name="s").select("id", F.shiftright("s", 32).alias("h"))
+    banded = session.stored(band_keys(_signatures(hashed, num_hash), num_hash, bands), "bands")
+    members = banded.join(_buckets(banded).select("band", "key", "n"), ["band", "key"])
+    members = session.stored(members, "members")
     best = _earliest(own, members, threshold)
     # A folded text repeats its representative, unless that one has an earlier match.
     return (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectable import session
-from vectable.functions.text import tokens
+from vectable.functions.text import one_per_row, tokens
 from vectable.operators.search import top_ranked
 
 DROP_RATIO = 0.2  # fixed value: declared default
@@ -21,11 +21,8 @@ def term_counts(df: DataFrame, id_col: str, text: str, out_id: str = "id") -> Da
 
     One shuffle by id serves both groupings.
     """
-    words = (
-        df.select(F.col(id_col).alias(out_id), F.col(text).alias("_text"))
-        .repartition(out_id)
-        .select(out_id, F.explode(tokens("_text")).alias("term"))
-    )
+    texts = df.select(F.col(id_col).alias(out_id), F.col(text).alias("_text")).repartition(out_id)
+    words = one_per_row(texts, tokens("_text"), out_id)
     counts = words.groupBy(out_id, "term").agg(F.count("*").cast("double").alias("weight"))
     entries = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
     return counts.groupBy(out_id).agg(entries.alias("vector"))
@@ -46,8 +43,7 @@ def sparse_postings(df: DataFrame, drop_ratio: float = DROP_RATIO) -> DataFrame:
     drop = F.floor(F.lit(float(drop_ratio)) * F.size("vector")).cast("int")
     kept = F.slice(F.sort_array(entries), drop + 1, F.size("vector"))
     return (
-        df.filter(F.size("vector") > 0)
-        .select("id", F.explode(kept).alias("e"))
+        one_per_row(df, kept, "id", name="e")
         .select(F.col("e.term").alias("term"), "id", F.col("e.weight").cast("double").alias("weight"))
     )
 

@@ -6,19 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectable import session
-from vectable.functions.text import tokens
+from vectable.functions.text import one_per_row, placed_per_row, tokens
 from vectable.operators.sparse import term_join
 
 
 def token_postings(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
     """(token, id, positions): where each token stands in each text, from 0."""
-    places = df.select(F.col(id_col).alias("id"), F.posexplode(tokens(col)).alias("pos", "token"))
+    texts = session.spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")))
+    places = placed_per_row(texts, tokens("_text"), "id", name="token")
     return places.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
 def _distinct_terms(queries: DataFrame, text: str) -> DataFrame:
     """(query_id, term, asked): the distinct tokens of each query."""
-    words = queries.select("query_id", F.explode(F.array_distinct(tokens(text))).alias("term"))
+    words = one_per_row(queries, F.array_distinct(tokens(text)), "query_id")
     return words.withColumn("asked", F.lit(1))
 
 
@@ -36,16 +37,15 @@ def text_match(
     matched tokens, then id, with their ``rank``. In mode "all" a text is reached through
     the rarest token of the query alone, and checked against the others.
     """
-    texts = df.select(F.col(id_col).alias("id"), F.array_distinct(tokens(col)).alias("words"))
+    texts = session.spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")))
+    words = one_per_row(texts, F.array_distinct(tokens("_text")), "id")
     terms = _distinct_terms(queries, "text")
     if mode == "any":
-        postings = session.spread(texts).select("id", F.explode("words").alias("term"))
-        matched = term_join(postings, terms).groupBy("query_id", "id").agg(
+        matched = term_join(words, terms).groupBy("query_id", "id").agg(
             F.count("*").cast("int").alias("matched")
         )
     elif mode == "all":
         terms = session.cut(terms)
-        words = session.spread(texts).select("id", F.explode("words").alias("term"))
         used = session.broadcast_checked(terms.select("term").distinct(), 1_000_000)
         relevant = words.join(used, "term", "left_semi")
         lead = session.broadcast_checked(_rarest(words.select("term"), terms), 1_000_000)
@@ -91,11 +91,12 @@ def phrase_match(df: DataFrame, col: str, queries: DataFrame, id_col: str = "id"
     A place is proposed by the rarest token of the phrase only; then the
     expected (id, position, token) rows are looked up by equality.
     """
-    words = session.spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text"))).select(
-        "id", F.posexplode(tokens("_text")).alias("pos", "term")
-    )
+    texts = session.spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")))
+    words = placed_per_row(texts, tokens("_text"), "id")
     asked = queries.select("query_id", tokens("text").alias("phrase")).filter(F.size("phrase") > 0)
-    spots = session.cut(asked.select("query_id", F.posexplode("phrase").alias("offset", "term")))
+    spots = session.cut(
+        placed_per_row(asked, "phrase", "query_id").withColumnRenamed("pos", "offset")
+    )
     lead = (
         spots.join(_rarest(words.select("term"), spots.select("query_id", "term").distinct()),
                    ["query_id", "term"])
