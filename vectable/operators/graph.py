@@ -204,8 +204,9 @@ def graph_search(
             .distinct()
             .join(beam.select("query_id", "id"), ["query_id", "id"], "left_anti")
         )
+        met = session.by_key(fresh.join(base, "id"), "query_id")
         scored = (
-            fresh.join(base, "id").join(asked, "query_id")
+            met.join(asked, "query_id")
             .select("query_id", "id", metrics.score("asked", "vector", metric).alias("score"))
             .filter(F.col("score").isNotNull())
             .withColumn("expanded", F.lit(False))

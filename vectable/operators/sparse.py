@@ -21,7 +21,7 @@ def term_counts(df: DataFrame, id_col: str, text: str, out_id: str = "id") -> Da
 
     One shuffle by id serves both groupings.
     """
-    texts = df.select(F.col(id_col).alias(out_id), F.col(text).alias("_text")).repartition(out_id)
+    texts = session.by_key(df.select(F.col(id_col).alias(out_id), F.col(text).alias("_text")), out_id)
     words = one_per_row(texts, tokens("_text"), out_id)
     counts = words.groupBy(out_id, "term").agg(F.count("*").cast("double").alias("weight"))
     entries = F.map_from_entries(F.collect_list(F.struct("term", "weight")))
@@ -65,7 +65,7 @@ def term_join(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """
     if session.small_enough(terms, MAX_BROADCAST_TERMS):
         used = F.broadcast(terms.select("term").distinct())
-        reached = postings.join(used, "term", "left_semi").repartition("id")
+        reached = session.by_key(postings.join(used, "term", "left_semi"), "id")
         return reached.join(F.broadcast(terms), "term")
     hot = (
         postings.groupBy("term").agg(F.count("*").alias("n"))
@@ -99,7 +99,8 @@ def sparse_search_pruned(postings: DataFrame, queries: DataFrame, k: int) -> Dat
     2. The strongest terms of each query give a floor for its k-th best score.
     3. Terms whose bounds together stay below the floor cannot lift a row that
        has no other term: rows come from the remaining, essential terms only,
-       and stay only if their bound reaches the floor.
+       and stay only if their bound reaches the floor, and then the higher
+       floor that their own sums give.
     4. The surviving pairs are completed with the other terms.
     """
     bounds = postings.groupBy("term").agg(F.max("weight").alias("hi"), F.min("weight").alias("lo"))
@@ -132,14 +133,30 @@ def sparse_search_pruned(postings: DataFrame, queries: DataFrame, k: int) -> Dat
             "essential", F.col("floor").isNull() | (F.col("reach") >= F.col("floor"))
         )
     )
+    small = ~F.col("essential")
     rest = split.groupBy("query_id").agg(
-        F.sum(F.when(~F.col("essential"), F.col("up")).otherwise(0.0)).alias("possible"),
+        F.sum(F.when(small, F.col("up")).otherwise(0.0)).alias("possible"),
+        F.sum(F.when(small, F.col("down")).otherwise(0.0)).alias("loss"),
+        F.sum(F.when(small, F.abs("asked")).otherwise(0.0)).alias("mass"),
         F.first("floor").alias("floor"),
     )
+    # What is left to gain is also bounded by the largest weight of the row itself.
+    peaks = postings.groupBy("id").agg(F.max(F.abs("weight")).alias("peak"))
     reached = _summed(term_join(postings, split.filter("essential").select("query_id", "term", "asked")))
+    bound = F.col("total") + F.least(F.col("possible"), F.col("mass") * F.col("peak"))
+    kept = session.cut(
+        reached.join(peaks, "id")
+        .join(rest, "query_id")
+        .filter(F.col("floor").isNull() | (bound >= F.col("floor")))
+        .select("query_id", "id", "total", "loss", bound.alias("bound"))
+    )
+    sure = kept.withColumn("score", F.col("total") + F.col("loss"))
+    higher = top_ranked(sure, k, "IP").filter(F.col("rank") == k).select(
+        "query_id", (F.col("score") - _MARGIN).alias("higher")
+    )
     alive = session.cut(
-        reached.join(rest, "query_id")
-        .filter(F.col("floor").isNull() | (F.col("total") + F.col("possible") >= F.col("floor")))
+        kept.join(higher, "query_id", "left")
+        .filter(F.col("higher").isNull() | (F.col("bound") >= F.col("higher")))
         .select("query_id", "id", "total")
     )
     minor = split.filter(~F.col("essential")).select("query_id", "term", "asked")

@@ -80,6 +80,15 @@ def spread(df: DataFrame, *, floor: int = 128 * 1024 * 1024) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
+def by_key(df: DataFrame, *cols: str) -> DataFrame:
+    """Hash-partition at the session's full shuffle width.
+
+    For rows that multiply or are scored after the shuffle: adaptive execution
+    would merge the partitions by their bytes and leave few tasks with the work.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+
+
 def small_enough(df: DataFrame, max_rows: int) -> bool:
     """True when ``df`` has at most ``max_rows`` rows; reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows
