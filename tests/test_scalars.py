@@ -24,7 +24,7 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 
 def test_top_k_per_group_is_limited_before_the_shuffle(spark, sf_dir):
-    for name in ("upsert_latest", "snapshot_strong", "knn_l2", "sparse_search", "autocomplete"):
+    for name in ("upsert_latest", "snapshot_strong", "knn_l2", "sparse_search"):
         text = plan(QUERIES[name](spark, sf_dir))
         assert "row_number()" in text and "Partial" in text and "WindowGroupLimit" in text, name
 

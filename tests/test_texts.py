@@ -140,3 +140,13 @@ def test_text_and_phrase_match_equal_brute_force(spark):
     assert rows(textsearch.phrase_match(df, "text", queries)) == sorted(places)
     with pytest.raises(ValueError):
         textsearch.text_match(df, "text", queries, "none")
+
+
+def test_band_search_of_hot_buckets_in_cells(spark, monkeypatch):
+    df = spark.createDataFrame(list(corpus().items()), "id long, text string")
+    sig = neardup.minhash(shingles(df, "text", 3).select("id", "shingles"))
+    asked = sig.select(F.col("id").alias("query_id"), "signature")
+    plain = rows(neardup.lsh_search(sig, asked, 5))
+    monkeypatch.setattr(neardup, "HOT_PAIRS", 4)
+    assert rows(neardup.lsh_search(sig, asked, 5)) == plain
+    assert rows(neardup.lsh_search(sig, asked, 5, broadcast_bytes=0)) == plain

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 DIGITS = 6
-ASCENDING = {"L2": True, "HAMMING": True, "COSINE": False, "IP": False, "JACCARD": False}
+ASCENDING = {"L2": True, "HAMMING": True, "COSINE": False, "IP": False, "JACCARD": False, "AGREEMENT": False}
 _CELLS = 4_000_000  # score-matrix entries held at a time
 _VALUES = 16_000_000  # vector values held at a time when re-scoring by differences
 
@@ -43,7 +43,15 @@ def keys(column: pa.Array) -> np.ndarray:
 
 
 def _score_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all rows of q against all rows of b, smaller is better."""
+    """Scores of all rows of q against all rows of b, smaller is better.
+
+    AGREEMENT is the share of equal entries, for signatures.
+    """
+    if metric == "AGREEMENT":
+        equal = np.zeros((len(q), len(b)))
+        for j in range(q.shape[1]):
+            equal -= q[:, j, None] == b[None, :, j]
+        return equal / q.shape[1]
     dots = q @ b.T
     if metric == "IP":
         return -dots
@@ -60,7 +68,7 @@ def _score_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
 
 
 class Best:
-    """Running k best base rows for each query of a block."""
+    """Running k best base rows for each query of a block; a row offered twice counts once."""
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
@@ -110,6 +118,8 @@ class Best:
         q, score, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
         order = np.lexsort((ids, score, q))
         q, score, ids = q[order], score[order], ids[order]
+        once = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])]
+        q, score, ids = q[once], score[once], ids[once]
         first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         keep = rank < self.k

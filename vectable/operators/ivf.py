@@ -57,8 +57,7 @@ def assign_lists(base: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def write_lists(lists: DataFrame, path: str) -> None:
     """Store rows partitioned by list, a hot list spread over several files."""
-    width = lists.sparkSession.sparkContext.defaultParallelism
-    lists.repartitionByRange(width, "list_id", "id").write.partitionBy("list_id").parquet(path)
+    lists.repartitionByRange(min(session.file_count(lists), 1_000_000), "list_id", "id").write.partitionBy("list_id").parquet(path)
 
 
 def with_probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:

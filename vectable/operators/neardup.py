@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from vectable import session
 from vectable.functions.text import one_per_row, shingles, tokens
-from vectable.operators.search import top_ranked
+from vectable.operators.search import search, top_ranked
 
 BANDS = 8  # fixed value: declared parameter
 NUM_HASH = 32
 PRIME = 2**31 - 1
+HOT_PAIRS = 65536
 _GROWTH = 16
 
 
@@ -115,7 +116,8 @@ def near_duplicates(
     copies = session.stored(marked.join(folded, "mark").select("id", "rep"), "copies")
     own = sets.join(copies.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
     hashed = one_per_row(own, "shingles", "id", name="s").select("id", F.shiftright("s", 32).alias("h"))
-    banded = session.stored(band_keys(_signatures(hashed, num_hash), num_hash, bands), "bands")
+    signed = _signatures(hashed, num_hash).join(own.select("id", F.size("shingles").alias("size")), "id")
+    banded = session.stored(band_keys(signed, num_hash, bands), "bands")
     members = banded.join(_buckets(banded).select("band", "key", "n"), ["band", "key"])
     members = session.stored(members, "members")
     best = _earliest(own, members, threshold)
@@ -140,11 +142,13 @@ def _earliest(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         open_buckets = pending.select("band", "key").distinct()
         heads = session.cut(
             members.join(open_buckets, ["band", "key"], "left_semi")
-            .select("band", "key", F.col("id").alias("first_id"), rank.alias("rn"))
+            .select("band", "key", F.col("id").alias("first_id"), F.col("size").alias("their_size"), rank.alias("rn"))
             .filter(F.col("rn") <= size)
         )
         anchors = heads.filter(F.col("rn") > seen).drop("rn")
-        pairs = pending.join(anchors, ["band", "key"]).filter(F.col("first_id") < F.col("id"))
+        # Sets of too unequal size cannot reach the threshold.
+        likely = F.least("size", "their_size") >= F.lit(threshold - 1e-6) * F.greatest("size", "their_size")
+        pairs = pending.join(anchors, ["band", "key"]).filter((F.col("first_id") < F.col("id")) & likely)
         if best is not None:
             pairs = pairs.filter(F.col("best").isNull() | (F.col("first_id") < F.col("best")))
         pairs = pairs.select("id", "first_id").distinct()
@@ -164,12 +168,12 @@ def _earliest(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame
         last = heads.filter(F.col("rn") == size).select("band", "key", F.col("first_id").alias("last"))
         known = best.select("id", F.col("first_id").alias("best"))
         pending = session.cut(
-            pending.select("band", "key", "id", "n")
+            pending.select("band", "key", "id", "size", "n")
             .filter(F.col("n") > size + 1)
             .join(last, ["band", "key"])
             .join(known, "id", "left")
             .filter(F.col("last") < F.least("id", "best"))
-            .select("band", "key", "id", "n", "best")
+            .select("band", "key", "id", "size", "n", "best")
         )
         if pending.isEmpty():
             return best
@@ -182,40 +186,60 @@ def lsh_search(
     k: int,
     num_hash: int = NUM_HASH,
     bands: int = BANDS,
+    **options,
 ) -> DataFrame:
     """k best rows by share of equal hashes, among rows that share a band with the query.
 
     Equal signatures score alike: each is joined once, and stands for its k
-    smallest ids.
+    smallest ids. A bucket that would give many pairs is searched in cells that
+    keep k rows per query; the others are joined.
     """
     smallest = F.row_number().over(Window.partitionBy("signature").orderBy("id"))
     stored = sig.withColumn("place", smallest).filter(F.col("place") <= k)
     heads = stored.filter(F.col("place") == 1).select("id", "signature")
     asked = query_sig.groupBy("signature").agg(F.min("query_id").alias("id"))
-    left = band_keys(heads.withColumn("theirs", F.col("signature")), num_hash, bands)
-    right = band_keys(asked.withColumn("ours", F.col("signature")), num_hash, bands)
-    met = (
-        left.withColumnRenamed("id", "head")
-        .join(right.withColumnRenamed("id", "asker"), ["band", "key"])
+    left, right = (
+        session.stored(band_keys(side.withColumn("vector", F.col("signature")), num_hash, bands), name)
+        for side, name in ((heads, "heads"), (asked, "asked"))
+    )
+    bucket = ["band", "key"]
+    sizes = left.groupBy(*bucket).agg(F.count("*").alias("nl")).join(
+        right.groupBy(*bucket).agg(F.count("*").alias("nr")), bucket
+    )
+    hot = session.cut(sizes.filter(F.col("nl") * F.col("nr") > HOT_PAIRS).select(*bucket))
+    hot_keys = session.broadcast_checked(hot, 100_000)
+    pairs = (
+        left.join(hot_keys, bucket, "left_anti").select(*bucket, F.col("id").alias("head"), F.col("vector").alias("theirs"))
+        .join(right.select(*bucket, F.col("id").alias("asker"), F.col("vector").alias("ours")), bucket)
         .groupBy("asker", "head")
         .agg(F.first("theirs").alias("theirs"), F.first("ours").alias("ours"))
     )
     equal = F.aggregate(
         F.zip_with("theirs", "ours", lambda a, b: (a == b).cast("int")), F.lit(0), lambda s, x: s + x
     )
-    scored = met.select(
+    scored = pairs.select(
         F.col("asker").alias("query_id"),
         F.col("head").alias("id"),
         F.round(equal / F.lit(float(num_hash)), 6).alias("score"),
     )
+    if not hot.isEmpty():
+        name = F.concat_ws("-", F.col("band").cast("string"), F.col("key").cast("array<string>"))
+        base = left.join(hot_keys, bucket, "left_semi").select("id", "vector", name.alias("key"))
+        queries = (
+            right.join(hot_keys, bucket, "left_semi")
+            .groupBy(F.col("id").alias("query_id"))
+            .agg(F.first("vector").alias("vector"), F.collect_list(name).alias("keys"))
+        )
+        found = search(base, queries, k, "AGREEMENT", keyed=True, repeated=True, **options)
+        scored = scored.unionByName(found.select("query_id", "id", "score")).distinct()
     signature_of = asked.select(F.col("id").alias("asker"), "signature")
-    groups = top_ranked(scored, k, "JACCARD").select(
+    groups = top_ranked(scored, k, "AGREEMENT").select(
         F.col("query_id").alias("asker"), F.col("id").alias("head"), "score"
     )
     group_of = heads.select(F.col("id").alias("head"), "signature")
     listed = stored.select("signature", "id").join(group_of, "signature").select("head", "id")
     per_asker = top_ranked(
-        groups.join(listed, "head").select(F.col("asker").alias("query_id"), "id", "score"), k, "JACCARD"
+        groups.join(listed, "head").select(F.col("asker").alias("query_id"), "id", "score"), k, "AGREEMENT"
     )
     queries = query_sig.join(signature_of, "signature").select("query_id", "asker")
     return queries.join(per_asker.withColumnRenamed("query_id", "asker"), "asker").select(

@@ -26,6 +26,7 @@ from vectable.functions import topk
 BASE_CELL_BYTES = 32 * 1024 * 1024
 QUERY_CELL_BYTES = 8 * 1024 * 1024
 MAX_LISTED_KEYS = 1000
+TASKS_PER_CORE = 4
 
 
 def top_ranked(scored: DataFrame, k: int, metric: str) -> DataFrame:
@@ -78,16 +79,18 @@ def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool)
             else:
                 found = batch.column("key").dictionary_encode()
                 codes = found.indices.to_numpy(zero_copy_only=False)
-                for code, key in enumerate(found.dictionary.to_pylist()):
+                runs = np.split(np.argsort(codes, kind="stable"), np.cumsum(np.bincount(codes))[:-1])
+                for key, at in zip(found.dictionary.to_pylist(), runs):
                     if key in members:
-                        at = np.flatnonzero(codes == code)
                         best.offer(ids[at], rows[at], members[key])
             best.settle()
         if id_type is not None:
             yield _emit(best, query_ids, id_type)
 
     columns = ["id", "vector"] + (["key"] if keyed else [])
-    return base.select(*columns).mapInArrow(scan, schema)
+    # Few long tasks rather than one per split: each task emits k rows per query.
+    tasks = TASKS_PER_CORE * base.sparkSession.sparkContext.defaultParallelism
+    return base.select(*columns).coalesce(tasks).mapInArrow(scan, schema)
 
 
 def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool) -> DataFrame:
@@ -149,6 +152,7 @@ def search(
     metric: str,
     *,
     keyed: bool = False,
+    repeated: bool = False,
     decode: Callable[[pa.Array], np.ndarray] | None = None,
     broadcast_bytes: int = session.BROADCAST_BYTES,
 ) -> DataFrame:
@@ -156,7 +160,8 @@ def search(
 
     ``base`` has ``id`` and ``vector`` (and ``key`` when ``keyed``); ``queries``
     has ``query_id`` and ``vector`` (and ``keys``, the array of keys it may
-    look into). ``decode`` turns a stored base column into a float matrix.
+    look into). ``repeated`` says that an id may be stored under several keys.
+    ``decode`` turns a stored base column into a float matrix.
     """
     topk.check_metric(metric)
     bits = metric in ("HAMMING", "JACCARD")
@@ -180,4 +185,6 @@ def search(
         scored = _stream_past(base, block, k, metric, decode, schema, keyed)
     else:
         scored = _cells(base, queries, k, metric, decode, schema, dim, keyed)
+    if repeated:
+        scored = scored.distinct()
     return top_ranked(scored, k, metric)

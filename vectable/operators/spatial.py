@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_LEVELS = 128
+MIN_LEVEL = -10
+MAX_LEVELS = 600  # all levels of double-sized boxes above the smallest
 
 
 def within_box(df: DataFrame, x: str, y: str, box: tuple[float, float, float, float]) -> DataFrame:
@@ -16,18 +17,21 @@ def within_box(df: DataFrame, x: str, y: str, box: tuple[float, float, float, fl
 
 
 def _cell(value: Column, level: Column, size: float) -> Column:
-    return F.floor(value / (F.lit(size) * F.pow(F.lit(2.0), level)))
+    return F.floor(value / (F.lit(size) * F.pow(F.lit(4.0), level)))
 
 
 def box_join(points: DataFrame, boxes: DataFrame, cell: float) -> DataFrame:
     """(box_id, id): every point inside every box, borders included.
 
     ``points`` has id, x, y; ``boxes`` has box_id, x_lo, y_lo, x_hi, y_hi. Each
-    box goes to the grid level whose cells are at least as wide as the box, so
-    it touches at most four of them; points take part at the levels in use.
+    box goes to a grid level (cells of ``cell`` times a power of four) whose
+    cells are one to four times as wide as the box: it touches at most four of
+    them, and a small box meets no crowd of far points. Points take part at the
+    levels in use.
     """
     side = F.greatest(F.col("x_hi") - F.col("x_lo"), F.col("y_hi") - F.col("y_lo"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(side, F.lit(cell)) / cell))).cast("int")
+    smallest = F.greatest(side, F.lit(cell * 4.0**MIN_LEVEL))
+    level = F.ceil(F.log(4.0, smallest / cell) - 1e-9).cast("int")
     sized = boxes.filter((F.col("x_lo") <= F.col("x_hi")) & (F.col("y_lo") <= F.col("y_hi"))).withColumn(
         "level", level
     )

@@ -69,6 +69,11 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
+def file_count(df: DataFrame, target: int = 256 * 1024 * 1024) -> int:
+    """How many files of about ``target`` bytes to write, at least one per core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-estimated_bytes(df) // target))
+
+
 def spread(df: DataFrame, *, floor: int = 128 * 1024 * 1024) -> DataFrame:
     """Use every core for CPU-heavy work on an input that fits a few splits.
 

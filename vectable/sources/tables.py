@@ -12,10 +12,12 @@ from pyspark.sql import types as T
 from vectable.operators import keys
 from vectable.plans.changes import require_addable, spec_change
 from vectable.sources.ingest import conform
+from vectable.session import file_count
 from vectable.spec import SpecError, TableSpec
 
 BUCKET = "_bucket"
 BUCKETS = 16
+MAX_FILES = 1_000_000
 
 
 def _bucket(value: Column, buckets: int) -> Column:
@@ -36,7 +38,7 @@ def write_table(
         key_type = spec.by_name[spec.partition_key].spark_type()
         df = df.withColumn(BUCKET, _bucket(F.col(spec.partition_key).cast(key_type), buckets))
         order = [BUCKET] + order
-    files = max(spec.shard_num, df.sparkSession.sparkContext.defaultParallelism)
+    files = max(spec.shard_num, min(file_count(df), MAX_FILES))
     out = df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode(mode)
     if spec.partition_key:
         out = out.partitionBy(BUCKET)
