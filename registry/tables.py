@@ -174,7 +174,7 @@ def write_then_pruned_read(spark, sf_dir):
 
 @query(
     "add_columns",
-    "select vec_id, label, null::bigint as score, null::varchar as remark from embeddings",
+    "select vec_id, label, -1::bigint as score, 'none' as remark from embeddings",
 )
 def add_columns(spark, sf_dir):
     more = TableSpec(
@@ -185,7 +185,8 @@ def add_columns(spark, sf_dir):
         ),
     )
     grown = tables.add_columns(_points(spark, sf_dir), POINTS, more)
-    return grown.select("vec_id", "label", "score", "remark")
+    filled = grown.na.fill(-1, ["score"]).na.fill("none", ["remark"])
+    return filled.select("vec_id", "label", "score", "remark")
 
 
 @query(
@@ -215,15 +216,15 @@ def rewrite_quarantine(spark, sf_dir):
 
 
 def _profile_sql(name, data_type, nulls, max_bytes, low, high, exact):
-    distinct = f"count(distinct {name})" if exact else "null::bigint"
-    key = f"count(distinct {name}) = count(*)" if exact else "null::boolean"
+    distinct = f"count(distinct {name})" if exact else "-1::bigint"
+    key = f"case when count(distinct {name}) = count(*) then 'yes' else 'no' end" if exact else "'unknown'"
     return f"""select '{name}' as column_name, '{data_type}' as data_type, count(*) as rows,
       count(*) - count({name}) as nulls, {max_bytes} as max_bytes, {low} as min_size,
       {high} as max_size, {distinct} as exact_distinct, {key} as is_key
     from {_PASSAGES_SQL}"""
 
 
-_NONE = "null::bigint"
+_NONE = "-1::bigint"
 
 
 def _bytes(name):
@@ -247,7 +248,9 @@ def _bytes(name):
     ),
 )
 def profile_spec(spark, sf_dir):
-    return tables.profile_spec(_passages(spark, sf_dir), exact=["doc_id", "text"]).drop("approx_distinct")
+    profile = tables.profile_spec(_passages(spark, sf_dir), exact=["doc_id", "text"]).drop("approx_distinct")
+    known = F.when(F.col("is_key"), "yes").when(~F.col("is_key"), "no").otherwise("unknown")
+    return profile.withColumn("is_key", known).na.fill(-1)
 
 
 _STATUS = """case when count(*) filter (where l_linestatus <> 'F') = 0 then 'F'

@@ -19,7 +19,7 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]").appName("vectable-tests")
         .config("spark.ui.enabled", "false").config("spark.driver.memory", "8g")
-        .config("spark.sql.shuffle.partitions", "8").getOrCreate()
+        .config("spark.sql.shuffle.partitions", "4").config("spark.default.parallelism", "4").getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
     ship_package(session)

@@ -38,4 +38,4 @@ def test_rows_do_not_depend_on_partitioning(spark, sf_dir, name):
     try:
         assert difference(QUERIES[name](spark, sf_dir).toPandas(), first) is None
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "8")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")

@@ -48,7 +48,8 @@ def text_match(
         terms = session.cut(terms)
         used = session.broadcast_checked(terms.select("term").distinct(), 1_000_000)
         relevant = words.join(used, "term", "left_semi")
-        lead = session.broadcast_checked(_rarest(words.select("term"), terms), 1_000_000)
+        lead = session.cut(_rarest(words.select("term"), terms))
+        lead = session.broadcast_checked(lead, 1_000_000)
         proposed = relevant.join(lead, "term").select("query_id", "id")
         needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
         matched = (
@@ -97,7 +98,7 @@ def phrase_match(df: DataFrame, col: str, queries: DataFrame, id_col: str = "id"
     spots = session.cut(
         placed_per_row(asked, "phrase", "query_id").withColumnRenamed("pos", "offset")
     )
-    lead = (
+    lead = session.cut(
         spots.join(_rarest(words.select("term"), spots.select("query_id", "term").distinct()),
                    ["query_id", "term"])
         .groupBy("query_id", "term")
