@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe
+from vectable.llm import bpe, decontaminate
 from vectable.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,3 +23,51 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
     )
+
+
+OP4_SQL = r"""
+with doc as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as w from documents),
+item as (
+  select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where text is not null),
+short as (select distinct least(len(w), 13) as m from item where len(w) > 0),
+item_window as (
+  select distinct item_id, least(len(w), 13) as m, list_slice(w, i, i + least(len(w), 13) - 1) as win
+  from item, unnest(generate_series(1, len(w) - least(len(w), 13) + 1)) as t(i) where len(w) > 0),
+doc_window as (
+  select doc_id, m, i, list_slice(w, i, i + m - 1) as win
+  from doc, short, unnest(generate_series(1, len(w) - m + 1)) as t(i) where len(w) >= m),
+hit as (
+  select doc_id, m, i, item_id from doc_window join item_window using (m, win)),
+hit_words as (
+  select doc_id, count(distinct p) as n_hit from hit, unnest(generate_series(i, i + m - 1)) as t(p) group by doc_id),
+hit_items as (
+  select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256
+  from (select distinct doc_id, item_id::varchar as item from hit) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256,
+       coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from doc left join hit_words using (doc_id) left join hit_items using (doc_id)"""
+
+
+def contaminated(found: DataFrame) -> DataFrame:
+    """``found`` of ``contamination`` with n_hit and the verdict: a twentieth of the words, at least one."""
+    return found.withColumn(
+        "n_hit", F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    ).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+@query("op4_decontaminate", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(found).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
