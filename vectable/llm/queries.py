@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate
-from vectable.llm.registry import ORACLES, QUERIES, query, table
+from vectable.llm import bpe, decontaminate, warc
+from vectable.llm.registry import ORACLES, QUERIES, folder, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -71,3 +71,30 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+OP2_SQL = """
+with page as (
+  select page_id, coalesce(html, '') as payload from pages),
+known as (
+  select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as payload_digest, payload from page),
+chosen as (
+  select payload, max(page_id) as chosen from known where payload_bytes >= 1000 group by payload)
+select page_id, payload_bytes, payload_digest,
+       case when chosen <> page_id then 'revisit' else 'response' end as record_type,
+       case when chosen <> page_id then chosen end as refers_to
+from known left join chosen using (payload)"""
+
+
+@query("op2_warc", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as archives and read back."""
+    path = folder(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = warc.read_archives(spark, path).filter("reason is null")
+    page = lambda c: F.regexp_extract(c, "^<urn:page:(-?[0-9]+)>$", 1)
+    number = lambda c: F.nullif(page(c), F.lit("")).cast("bigint")
+    return records.select(
+        number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+        number("refers_to").alias("refers_to"),
+    )
