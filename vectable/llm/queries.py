@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, warc
+from vectable.llm import bpe, decontaminate, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -98,3 +98,26 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         number("refers_to").alias("refers_to"),
     )
+
+
+OP3_SQL = """
+with held as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as w
+  from embeddings
+  where embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0),
+pairs as (
+  select q.vec_id as query_id, b.vec_id,
+         coalesce(list_sum(list_transform(range(1, least(len(q.w), len(b.w)) + 1), lambda i: q.w[i] * b.w[i])), 0)::bigint as score
+  from held q, held b where q.vec_id % 100 = 0 and q.vec_id <> b.vec_id)
+select query_id, rank::int as rank, vec_id, score from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from pairs)
+where rank <= 10"""
+
+
+@query("op3_exact_top_k", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best integer inner products of every hundredth vector against all others."""
+    base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = topk.exact_top_k(base, base.filter(F.col("id") % 100 == 0), 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
