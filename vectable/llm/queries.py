@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, topk, warc
-from vectable.llm.registry import ORACLES, QUERIES, folder, query, table
+from vectable.llm import bpe, decontaminate, sharding, topk, warc
+from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -121,3 +121,28 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
     found = topk.exact_top_k(base, base.filter(F.col("id") % 100 == 0), 10)
     return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+
+
+@query("op7_virtual_slots")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in eight shards of nearly equal bytes, by slots; version 2 of the map is in force."""
+    text = F.coalesce("text", F.lit(""))
+    records = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.octet_length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+    )
+    records = written(records.withColumn("slot", sharding.slot_of(F.col("doc_id"), F.col("text_crc32"))), "records")
+    totals = written(sharding.slot_totals(records), "slot-totals")
+    first = written(sharding.even_map(spark, 8), "slot-map-version-1")
+    second = written(sharding.rebalanced(first, totals, 8), "slot-map-version-2")
+    found = sharding.placed(records, second, totals, "doc_id", "text_crc32", "size")
+    return found.select(
+        "doc_id", "size", "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        F.col("slot").alias("virtual_slot"),
+        "version",
+    )
