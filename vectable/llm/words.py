@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -105,3 +106,8 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
         values = np.minimum(values[: len(values) - step], values[step:])
         done += step
     return values
+
+
+def text_hash(text: str) -> int:
+    """64 signed bits of a text, the same in every process."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
