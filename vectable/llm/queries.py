@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, html, sharding, topk, warc
+from vectable.llm import bpe, decontaminate, html, langid, sharding, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -153,3 +153,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op8_language")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
