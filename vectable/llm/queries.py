@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, html, langid, sharding, topk, warc
+from vectable.llm import bpe, decontaminate, html, jaccard, langid, sharding, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -161,3 +161,9 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = langid.predict(docs.select("doc_id", "text"), langid.fit(docs))
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class, links and copies of every document under 5-gram Jaccard similarity of 0.8."""
+    return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
