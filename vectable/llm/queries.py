@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, html, jaccard, langid, sharding, topk, warc
+from vectable.llm import bpe, decontaminate, html, jaccard, langid, repeats, sharding, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -167,3 +167,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, links and copies of every document under 5-gram Jaccard similarity of 0.8."""
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query("op6_suffix_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every text without strings of 100 bytes that occurred before."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
