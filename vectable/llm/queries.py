@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, html, jaccard, langid, repeats, sharding, topk, warc
+from vectable.llm import bpe, decontaminate, edits, html, jaccard, langid, repeats, sharding, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -180,3 +180,27 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+def scripted_edits() -> Column:
+    """Three edits of every text, made of the row: a label for five characters, the opening said again, a shorter end."""
+    size = F.length(F.coalesce("text", F.lit("")))
+    edit = lambda at, removed, inserted: F.struct(
+        at.cast("int").alias("at"), removed.cast("int").alias("removed"), inserted.alias("inserted")
+    )
+    return F.array(
+        edit(F.floor(size / 3), F.lit(5), F.coalesce("lang", F.lit(""))),
+        edit(F.floor(2 * size / 3), F.lit(0), F.substring(F.coalesce("text", F.lit("")), 1, 20)),
+        edit(F.greatest(size - 10, F.lit(0)), size, F.coalesce("source", F.lit(""))),
+    )
+
+
+@query("op5_edit_counts")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text before and after three edits, and how many pre-tokens were encoded for them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", scripted_edits().alias("edits"))
+    before = edits.token_trees(docs).withColumn("n_before", F.col("n_tokens"))
+    after = edits.apply_edits(before)
+    return after.select(
+        "doc_id", "n_before", F.col("n_tokens").alias("n_after"), F.size("leaf_chars").cast("bigint").alias("n_pretokens"), "n_encoded"
+    )
