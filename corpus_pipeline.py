@@ -9,6 +9,10 @@ from vectable.llm.registry import written
 from vectable.session import ship_package
 
 STAGES = [
+    ("language", stages.language),
+    ("near_duplicates", stages.near_duplicates),
+    ("repeated_passages", stages.repeated_passages),
+    ("decontamination", stages.decontamination),
     ("encode", stages.encode),
 ]
 

@@ -5,11 +5,68 @@ Every stage but the last returns the columns that it was given.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vectable.llm import bpe
-from vectable.session import ship_package
+from vectable.llm import bpe, decontaminate, jaccard, langid, repeats
+from vectable.llm.arrow import with_column
+from vectable.llm.queries import contaminated
+from vectable.llm.registry import table, written
+from vectable.session import broadcast_checked, ship_package
+
+KEY_ROWS = 1_000_000
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognized: rejected ones, and texts without a letter, go."""
+    ship_package(spark)
+    found = langid.predict(docs, langid.fit(docs))
+    return found.filter(~F.col("rejected")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of the smallest id of each class; of repeated rows one stays."""
+    ship_package(spark)
+    found = jaccard.jaccard_join(docs)
+    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id"), "kept")
+    ids = kept.distinct()
+    held = docs.join(broadcast_checked(ids, KEY_ROWS), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
+    if kept.count() > ids.count():  # ids repeat: of rows with one id and one text the first stays
+        return held.dropDuplicates(["doc_id", "text"])
+    return held
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 100 bytes that occurred before; texts that lose all their bytes go.
+
+    A character that a cut divides goes as a whole; n_chars follows the text.
+    """
+    ship_package(spark)
+    found = with_column(repeats.without_repeats(docs), "kept", "_rest", T.StringType(), _whole_characters)
+    found = found.filter((F.size("spans") == 0) | (F.octet_length("_rest") > 0))
+    found = found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("_rest")))
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        found = found.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
+    return found.select(*docs.columns)
+
+
+def _whole_characters(raw: pa.Array) -> pa.Array:
+    """The texts of UTF-8 bytes, without what is not a whole character."""
+    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in raw.to_pylist()], pa.string())
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by an item of ``benchmark``."""
+    ship_package(spark)
+    keyed = docs.withColumn("_hash", F.xxhash64("text"))
+    found = contaminated(decontaminate.contamination(keyed.select(F.struct("doc_id", "_hash").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
+    bad = written(found.filter("contaminated").select("doc_id.doc_id", "doc_id._hash").distinct(), "contaminated")
+    bad = broadcast_checked(bad, KEY_ROWS)
+    same = keyed["doc_id"].eqNullSafe(bad["doc_id"]) & (keyed["_hash"] == bad["_hash"])
+    return keyed.join(bad, same, "left_anti").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
