@@ -1,0 +1,241 @@
+"""Decontamination, repeats, Jaccard join, language: brute force and odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from helpers import by_id, documents
+
+from vectable.llm import decontaminate, jaccard, langid, repeats, suffix
+from vectable.llm.components import components
+from vectable.llm.queries import contaminated, op6, op8, op9
+
+WORDS = [a + b for a in ("ba", "do", "ke", "lu", "mi") for b in ("ra", "sto", "ven", "wix", "zu", "é")]
+
+
+def prose(n, seed):
+    return " ".join(random.Random(seed).choices(WORDS, k=n))
+
+
+# ---- decontamination ----
+
+
+def brute_contamination(docs, items):
+    import re
+
+    def split(t):
+        table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(table))
+
+    out = {}
+    for i, text in docs:
+        w, hit, found = split(text), set(), set()
+        for item, other in items:
+            v = split(other)
+            m = min(13, len(v))
+            windows = {tuple(v[a : a + m]) for a in range(len(v) - m + 1)} if m else set()
+            for a in range(len(w) - m + 1):
+                if tuple(w[a : a + m]) in windows:
+                    hit |= set(range(a, a + m))
+                    found.add(str(item))
+        out[i] = (len(w), len(hit), sorted(found), len(hit) > 0 and 20 * len(hit) >= len(w))
+    return out
+
+
+@pytest.mark.parametrize("block", [1 << 24, 200])
+def test_contamination_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [(n, prose(30, n)) for n in range(8)] + [(20, "Ba-ra! dosto"), (21, None), (22, ""), (23, "zzz"), (24, prose(30, 3)), (25, "x " * 40)]
+    base = [prose(30, n) for n in range(8)]
+    docs = [(n, prose(200, 100 + n) + " " + " ".join(base[n].split()[n : n + 12 + n % 3]) + "," + prose(50, n + 50)) for n in range(8)]
+    docs += [(30, None), (31, ""), (32, base[2].upper()), (33, "bara DOSTO zzz"), (34, prose(9000, 9) + " " + base[1]), (35, "x " * 30)]
+    frame = documents(spark, docs).selectExpr("*", "1 as spans", "'a' as items", "0 as n_words")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = by_id(contaminated(decontaminate.contamination(frame, bench)))
+    want = brute_contamination(docs, items)
+    assert {i: (r.n_words, r.n_hit, r["items"], r.contaminated) for i, r in got.items()} == want
+
+
+def test_contamination_of_repeated_rows_and_empty_tables(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, prose(20, 1)), (2, prose(20, 2))], "item_id long, text string")
+    docs = documents(spark, [(1, prose(20, 1)), (1, prose(20, 1))])
+    for block in (1 << 24, 60):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        assert decontaminate.contamination(docs, bench).count() == 2
+    assert decontaminate.contamination(docs.limit(0), bench).count() == 0
+    clean = contaminated(decontaminate.contamination(docs, bench.limit(0))).collect()
+    assert [(r.n_hit, r["items"], r.contaminated) for r in clean] == [(0, [], False)] * 2
+
+
+# ---- suffix arrays and repeats ----
+
+
+def test_suffix_arrays_and_prefixes_equal_brute_force():
+    random.seed(3)
+    for _ in range(150):
+        text = np.array(random.choices(range(random.choice([1, 2, 4, 250])), k=random.randint(1, 90)), np.uint8)
+        if random.random() < 0.4:
+            text = np.concatenate([text, text[: len(text) // 2], text])
+        raw, words = text.tobytes(), suffix.words_at(text)
+        sa = suffix.suffix_array(text, words)
+        assert sa.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+        shared = suffix.common_prefixes(text, words, sa)
+        for a, b in zip(sa.tolist(), sa[1:].tolist(), strict=False):
+            n = next((k for k in range(len(raw)) if a + k >= len(raw) or b + k >= len(raw) or raw[a + k] != raw[b + k]), len(raw))
+            assert shared[b] == n
+
+
+def brute_repeats(docs, length=100):
+    seen, out = set(), {}
+    for i, text in sorted(docs, key=lambda d: d[0]):
+        raw = (text or "").encode()
+        mark = bytearray(len(raw))
+        for a in range(len(raw) - length + 1):
+            part = raw[a : a + length]
+            if part in seen:
+                mark[a : a + length] = b"\1" * length
+            seen.add(part)
+        out[i] = bytes(b for b, m in zip(raw, mark, strict=True) if not m), sum(mark), sum(m and not (n and mark[n - 1]) for n, m in enumerate(mark))
+    return out
+
+
+@pytest.mark.parametrize(("shard", "sent"), [(1 << 20, 1 << 26), (3000, 0)])
+def test_repeats_equal_brute_force(spark, monkeypatch, shard, sent):
+    monkeypatch.setattr(repeats, "SHARD_BYTES", shard)
+    monkeypatch.setattr(repeats, "BROADCAST_BYTES", sent)
+    passage = prose(60, 77)
+    docs = [(n, prose(80, n) + passage[n : 250 + n] + prose(30, 200 + n)) for n in range(12)]
+    docs += [(20, None), (21, ""), (22, "x" * 99), (23, "ab" * 900), (24, "x" * 100), (25, "x" * 101), (26, docs[3][1]), (27, "é" * 120)]
+    docs += [(40, prose(4000, 5) + docs[7][1]), (-5, docs[11][1][100:400])]
+    frame = documents(spark, docs).selectExpr("*", "1 as kept", "2 as spans", "3 as n_bytes", "4 as id", "5 as tie")
+    got = by_id(repeats.without_repeats(frame))
+    want = brute_repeats(docs)
+    for i, (kept, removed, spans) in want.items():
+        r = got[i]
+        assert (bytes(r.kept), r.n_bytes - len(r.kept), len(r.spans)) == (kept, removed, spans), i
+
+
+def test_repeats_of_repeated_rows_null_ids_and_empty_tables(spark):
+    text = prose(60, 1)
+    got = repeats.without_repeats(documents(spark, [(7, text), (7, text), (None, text), (8, text)])).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, len(r.kept)) for r in got) == [
+        (False, 7, 0), (False, 7, 0), (False, 8, 0), (True, 0, len(text.encode())),
+    ]
+    assert repeats.without_repeats(documents(spark, []).limit(0)).count() == 0
+    assert repeats.without_repeats(documents(spark, [(1, "short")])).first().n_bytes == 5
+
+
+def test_repeats_query(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    want = brute_repeats(docs)
+    for r in op6(spark, sf_dir).collect():
+        kept, removed, spans = want[r.doc_id]
+        assert (r.n_removed, r.n_spans, r.kept_sha256) == (removed, spans, hashlib.sha256(kept).hexdigest())
+
+
+# ---- Jaccard join ----
+
+
+def brute_classes(docs):
+    sets = [frozenset(jaccard.gram_sets([(t or "").encode()])[0].tolist()) for _, t in docs]
+    nodes = {}
+    for (i, _), s in zip(docs, sets, strict=True):
+        if s:
+            nodes.setdefault(s, []).append(i)
+    parent, links = {s: s for s in nodes}, defaultdict(int)
+
+    def find(s):
+        while parent[s] != s:
+            s = parent[s]
+        return s
+
+    listed = list(nodes)
+    for n, a in enumerate(listed):
+        for b in listed[:n]:
+            if len(a & b) >= 0.8 * len(a | b):
+                links[a] += 1
+                links[b] += 1
+                parent[find(a)] = find(b)
+    low = {}
+    for s in nodes:
+        low[find(s)] = min(low.get(find(s), 1 << 60), *nodes[s])
+    return [(i, low[find(s)] if s else i, links[s] if s else 0, len(nodes[s]) if s else 1) for (i, _), s in zip(docs, sets, strict=True)]
+
+
+@pytest.mark.parametrize(("part", "chunk"), [(20_000, 256), (3, 4)])
+def test_join_equals_brute_force(spark, monkeypatch, part, chunk):
+    monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "CHUNK", chunk)
+    docs = []
+    for group in range(6):
+        words = prose(120, 500 + group).split()
+        for n in range(10):
+            draw = random.Random(group * 50 + n)
+            mine = list(words)
+            for _ in range(n // 2):
+                mine[draw.randrange(len(mine))] = f"edit{draw.randrange(9)}"
+            docs.append((len(docs), " ".join(mine)))
+    docs += [(90, None), (91, ""), (92, "one"), (93, "One!"), (94, "a b c d e"), (95, "..."), (96, prose(30000, 4))]
+    docs += [(97, docs[3][1]), (98, docs[3][1].upper())]
+    frame = documents(spark, docs).selectExpr("*", "1 as class_id", "'x' as node", "2 as n_links", "3 as id")
+    got = sorted(tuple(r) for r in jaccard.jaccard_join(frame).collect())
+    assert got == sorted(brute_classes(docs))
+
+
+def test_join_of_repeated_rows_null_ids_and_empty_tables(spark):
+    text = prose(50, 1)
+    got = jaccard.jaccard_join(documents(spark, [(4, text), (4, text), (None, text), (9, prose(50, 2))])).collect()
+    assert sorted((r.doc_id or 0, r.class_id, r.n_links, r.n_copies) for r in got) == [(0, 4, 0, 3), (4, 4, 0, 3), (4, 4, 0, 3), (9, 9, 0, 1)]
+    assert jaccard.jaccard_join(documents(spark, []).limit(0)).count() == 0
+
+
+def test_posterior_bound():
+    need = jaccard.least_matches(300, 0.8, 1e-9)
+    assert need[30] < 0.6 * 30 and 0.55 * 300 < need[300] < 240 and list(need[1:]) == sorted(need[1:])
+
+
+def test_join_query(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    assert sorted(tuple(r) for r in op9(spark, sf_dir).collect()) == sorted(brute_classes(docs))
+
+
+def test_components(spark):
+    edges = [(n, n + 1) for n in range(40)] + [(100, 90), (90, 95), (7, 3)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert got == {**dict.fromkeys(range(41), 0), 100: 90, 90: 90, 95: 90}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# ---- language ----
+
+
+def test_language_of_held_out_rows(spark, sf_dir):
+    docs = by_id(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    got = [r for r in op8(spark, sf_dir).collect() if r.held_out]
+    right = sum(r.lang_pred == docs[r.doc_id].lang for r in got)
+    assert len(got) > 30 and right >= 0.97 * len(got)
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_odd_rows(spark):
+    rows = [(n, prose(40, n), "xx", None) for n in range(30)] + [(50 + n, "the tea is with you " * (n % 3 + 1), "en", None) for n in range(30)]
+    rows += [(100, None, "en", None), (101, "", "en", None), (102, "12 34 -- \n", "en", None), (103, "dosto " * 9000, None, None), (104, "é", None, None), (105, "the tea is", None, None)]
+    docs = spark.createDataFrame(rows + rows[:2], "doc_id long, text string, lang string, lang_pred string")
+    model = langid.fit(docs)
+    got = by_id(langid.predict(docs.selectExpr("*", "0 as score", "1 as _lettered"), model))
+    assert [got[n].lang_pred for n in (100, 101, 102, 103, 105)] == ["und", "und", "und", "xx", "en"]
+    assert [got[n].score for n in (100, 101, 102)] == [0.0] * 3 and got[100].rejected and not got[105].rejected
+    assert langid.predict(docs.limit(0), model).count() == 0
+    none = langid.fit(docs.filter("lang is null"))
+    assert none is None and langid.predict(docs, none).first().lang_pred == "und"
+
+
+def test_language_learns_nothing_from_held_out_rows(spark):
+    import zlib
+
+    rows = [(n, prose(20, n), "held" if zlib.crc32(str(n).encode()) % 4 == 2 else "seen") for n in range(80)]
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string")).labels == ["seen"]

@@ -72,6 +72,7 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>",
     re.IGNORECASE | re.DOTALL,
 )
+_OPEN = re.compile(r"<[a-z/!?]", re.IGNORECASE)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _HOST = re.compile(r"\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
 UNDECIDED, MAINLY, FURNITURE = 0, 1, 2
@@ -158,7 +159,8 @@ def blocks(html: str) -> tuple[list[tuple[str, int, str]], dict[str, list]]:
         if not m["attrs"].endswith("/") or tag in BLOCK:
             stack.append(node)
             seen.setdefault(node.path, []).append(node.children)
-    held.append(html[at:])
+    cut = _OPEN.search(html, at)  # a tag that the end of the file cuts is no text
+    held.append(html[at : cut.start() if cut else len(html)])
     flush()
     return found, seen
 
