@@ -105,7 +105,7 @@ def test_places_of_odd_rows(spark):
 
 
 def test_pipeline(spark, sf_dir):
-    from test_texts import brute_classes, brute_contamination, brute_repeats
+    from test_llm_texts import brute_classes, brute_contamination, brute_repeats
 
     from vectable.llm import langid
     from vectable.llm.bpe import vocabulary
