@@ -72,13 +72,22 @@ class Best:
 
     def __init__(self, queries: np.ndarray, k: int, metric: str):
         self.queries, self.k, self.metric = queries, k, metric
+        self.finite = np.isfinite(queries).all(axis=1) if queries.size else np.ones(len(queries), bool)
+        self.norms = np.sqrt((queries * queries).sum(1)) if metric == "L2" else None
         self.worst = np.full(len(queries), np.inf)
         self._kept: tuple | None = None
         self._pending: list[tuple] = []
 
     def offer(self, ids: np.ndarray, base: np.ndarray, members: np.ndarray | None = None):
-        """Score base rows against the queries ``members`` (all when None)."""
+        """Score base rows against the queries ``members`` (all when None).
+
+        Rows and queries that are not finite take no part.
+        """
         members = np.arange(len(self.queries)) if members is None else members
+        members = members[self.finite[members]]
+        fits = np.isfinite(base).all(axis=1)
+        if not fits.all():
+            ids, base = ids[fits], base[fits]
         if not len(members) or not len(ids):
             return
         width = max(1, _CELLS // len(members))
@@ -88,14 +97,15 @@ class Best:
     def _offer_block(self, ids, base, members):
         q = self.queries[members]
         scores = _score_matrix(q, base, self.metric)
+        scores[~np.isfinite(scores)] = np.inf
         limit = self.worst[members]
         if scores.shape[1] >= self.k:
             nth = np.partition(scores, self.k - 1, axis=1)[:, self.k - 1]
             limit = np.minimum(limit, nth)
-        scale = 1.0
+        scale = np.ones((len(members), 1))
         if self.metric == "L2":
             # The matrix form loses digits near zero: widen, then score by differences.
-            scale += np.sqrt(max((q * q).sum(1).max(), (base * base).sum(1).max()))
+            scale += np.maximum(self.norms[members], np.sqrt((base * base).sum(1).max()))[:, None]
         near = (scores <= limit[:, None] + 2e-6 * scale) & np.isfinite(scores)
         qi, bi = np.nonzero(near)
         if not len(qi):
@@ -137,11 +147,15 @@ class Best:
 
 
 def nearest(queries: np.ndarray, base: np.ndarray, k: int, metric: str = "L2") -> np.ndarray:
-    """Row numbers of the k best base rows of each query, best first."""
-    best = Best(queries, min(k, len(base)), metric)
+    """Row numbers of the k best base rows of each query, best first; -1 where there is none."""
+    k = min(k, len(base))
+    best = Best(queries, k, metric)
     best.offer(np.arange(len(base)), base)
-    _, ids, _ = best.rows()
-    return ids.reshape(len(queries), -1)
+    q, ids, _ = best.rows()
+    out = np.full((len(queries), k), -1)
+    first = np.searchsorted(q, np.arange(len(queries)))
+    out[q, np.arange(len(q)) - first[q]] = ids
+    return out
 
 
 def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:

@@ -167,7 +167,6 @@ def graph_search(
     queries: DataFrame,
     k: int,
     ef: int = 64,
-    hops: int = 64,
     metric: str = "L2",
     entries: int = 32,
     width: int = 16,
@@ -175,7 +174,8 @@ def graph_search(
     """Beam search along the edges for all queries at once, one set of joins per hop.
 
     Each query keeps its ``ef`` best rows; every hop scores the neighbours of
-    the ``width`` best that are not yet expanded. Ends when no beam has one.
+    the ``width`` best that are not yet expanded. Ends when no beam has one,
+    however many hops that takes: every hop expands rows, and none twice.
     """
     if ef < k:
         raise ValueError("ef must be at least k")
@@ -194,7 +194,7 @@ def graph_search(
 
     first = search(starts, queries, ef, metric).select("query_id", "id", "score")
     beam = step(first.withColumn("expanded", F.lit(False)))
-    for _ in range(hops):
+    while True:
         frontier = beam.filter("next").select("query_id", "id")
         if frontier.isEmpty():
             break

@@ -10,8 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,39 +19,76 @@ from vectable.functions import metrics, topk
 from vectable.operators.search import search, top_ranked
 
 NLIST, PQ_M, PQ_NBITS = 100, 8, 8  # fixed values: declared defaults
-MAX_CENTROIDS = 65536
+CANDIDATE_ROWS = 1_000_000
+MAX_CENTROID_BYTES = 256 * 1024 * 1024
+
+
+def _require_small(centroids: DataFrame) -> None:
+    """Centroids go to the driver and to every task: refuse what is too large for that."""
+    held = centroids.agg(F.sum(F.size("centroid") * 8)).first()[0] or 0
+    if held > MAX_CENTROID_BYTES:
+        raise ValueError(f"{held} bytes of centroids; at most {MAX_CENTROID_BYTES}")
+
+
+def _fitting(rows: DataFrame, dim: int) -> DataFrame:
+    """Rows whose vector has ``dim`` elements; others are left out of lists, codes and training."""
+    return rows.filter(F.col("vector").isNotNull() & (F.size("vector") == dim))
+
+
+def _finite(matrix: np.ndarray) -> np.ndarray:
+    return matrix[np.isfinite(matrix).all(axis=1)]
 
 
 def _matrix(centroids: DataFrame, key: str) -> tuple[np.ndarray, np.ndarray]:
     """Keys and vectors of a centroid table, ordered by key; size-checked."""
-    if not session.small_enough(centroids, MAX_CENTROIDS):
-        raise ValueError(f"more than {MAX_CENTROIDS} centroids")
+    _require_small(centroids)
     block = centroids.select(key, "centroid").toArrow()
     order = np.argsort(topk.keys(block.column(key)), kind="stable")
     return topk.keys(block.column(key))[order], topk.vectors(block.column("centroid"))[order]
 
 
-def train_lists(base: DataFrame, nlist: int = NLIST, seed: int = 0, iterations: int = 20) -> DataFrame:
-    """(list_id, centroid): k-means over all rows; nlist is clamped to the row count."""
-    rows = session.spread(base.filter(F.col("vector").isNotNull()))
-    if rows.limit(nlist).count() < nlist:
-        nlist = rows.count()
-    data = rows.select(array_to_vector(F.col("vector").cast("array<double>")).alias("features"))
-    model = KMeans(k=nlist, seed=seed, maxIter=iterations).fit(data)
-    centers = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
+def _start(rows: DataFrame, k: int, seed: int) -> np.ndarray:
+    """The usable vectors among the ``k`` rows of the smallest hash of (id, seed): the same on any cluster."""
+    first = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(k).toArrow()
+    return _finite(topk.vectors(first.column("vector"))) if first.num_rows else np.empty((0, 0))
+
+
+def _training_rows(base: DataFrame) -> DataFrame:
+    """(id, vector) of the commonest dimension, stored once: every round reads them."""
+    dim = base.agg(F.mode(F.size("vector"), True)).first()[0] or 0
+    return session.spread(session.stored(_fitting(base.select("id", "vector"), dim), "training"))
+
+
+def train_lists(
+    base: DataFrame, nlist: int = NLIST, seed: int = 0, iterations: int = 20, start: DataFrame | None = None
+) -> DataFrame:
+    """(list_id, centroid): k-means over all rows; nlist is clamped to the row count.
+
+    Starts from the rows with the smallest hash of (id, seed), or from the
+    centroids of ``start`` (list_id, centroid).
+    """
+    rows = _training_rows(base)
+    first = _matrix(start, "list_id")[1] if start is not None else _start(rows, nlist, seed)
+    words = _lloyd(rows, first[None], iterations) if len(first) else first[None]
+    centers = [(i, [float(x) for x in c]) for i, c in enumerate(words[0])]
     return base.sparkSession.createDataFrame(centers, "list_id int, centroid array<double>")
 
 
-def assign_lists(base: DataFrame, centroids: DataFrame) -> DataFrame:
-    """``base`` with ``list_id``, its nearest centroid; ties go to the smaller id."""
+def assign_lists(base: DataFrame, centroids: DataFrame, metric: str = "L2") -> DataFrame:
+    """``base`` with ``list_id``, its nearest centroid by ``metric``; ties go to the smaller id.
+
+    Vectors of another dimension, with an element that is null or not finite,
+    or (COSINE) without a direction, are in no list.
+    """
     list_ids, matrix = _matrix(centroids, "list_id")
 
     @F.arrow_udf("int")
     def nearest_list(vector: pa.Array) -> pa.Array:
-        return pa.array(list_ids[topk.nearest(topk.vectors(vector), matrix, 1)[:, 0]], pa.int32())
+        near = topk.nearest(topk.vectors(vector), matrix, 1, metric)[:, 0]
+        return pa.array(list_ids[near], pa.int32(), mask=near < 0)
 
-    rows = session.spread(base.filter(F.col("vector").isNotNull()))
-    return rows.withColumn("list_id", nearest_list("vector"))
+    rows = session.spread(_fitting(base, matrix.shape[1]))
+    return rows.withColumn("list_id", nearest_list("vector")).filter(F.col("list_id").isNotNull())
 
 
 def write_lists(lists: DataFrame, path: str) -> None:
@@ -60,21 +96,21 @@ def write_lists(lists: DataFrame, path: str) -> None:
     lists.repartitionByRange(min(session.file_count(lists), 1_000_000), "list_id", "id").write.partitionBy("list_id").parquet(path)
 
 
-def with_probes(queries: DataFrame, centroids: DataFrame, nprobe: int) -> DataFrame:
-    """``queries`` with ``keys``: the nprobe nearest list ids."""
+def with_probes(queries: DataFrame, centroids: DataFrame, nprobe: int, metric: str = "L2") -> DataFrame:
+    """``queries`` with ``keys``: the nprobe nearest list ids by ``metric``; none for queries that fit no list."""
     list_ids, matrix = _matrix(centroids, "list_id")
 
     @F.arrow_udf("array<int>")
     def probes(vector: pa.Array) -> pa.Array:
-        near = topk.nearest(topk.vectors(vector), matrix, nprobe)
-        return pa.array(list_ids[near].tolist(), pa.list_(pa.int32()))
+        near = topk.nearest(topk.vectors(vector), matrix, nprobe, metric)
+        return pa.array([list_ids[row[row >= 0]].tolist() for row in near], pa.list_(pa.int32()))
 
-    return queries.filter(F.col("vector").isNotNull()).withColumn("keys", probes("vector"))
+    return _fitting(queries, matrix.shape[1]).withColumn("keys", probes("vector"))
 
 
 def _probe(lists, centroids, queries, k, nprobe, metric, stored, decode=None, **options):
     base = lists.select("id", F.col(stored).alias("vector"), F.col("list_id").alias("key"))
-    asked = with_probes(queries, centroids, nprobe)
+    asked = with_probes(queries, centroids, nprobe, metric)
     return search(base, asked, k, metric, keyed=True, decode=decode, **options)
 
 
@@ -96,7 +132,9 @@ def sq8_bounds(base: DataFrame) -> DataFrame:
         lo = hi = None
         for batch in batches:
             if batch.num_rows:
-                rows = topk.vectors(batch.column(0))
+                rows = _finite(topk.vectors(batch.column(0)))
+                if not len(rows):
+                    continue
                 low, high = rows.min(0), rows.max(0)
                 lo = low if lo is None else np.minimum(lo, low)
                 hi = high if hi is None else np.maximum(hi, high)
@@ -106,7 +144,8 @@ def sq8_bounds(base: DataFrame) -> DataFrame:
                 names=["pos", "lo", "hi"],
             )
 
-    rows = session.spread(base.select("vector").filter(F.col("vector").isNotNull()))
+    dim = base.agg(F.mode(F.size("vector"), True)).first()[0] or 0
+    rows = session.spread(_fitting(base.select("vector"), dim))
     parts = rows.mapInArrow(extremes, "pos int, lo double, hi double")
     return parts.groupBy("pos").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
@@ -123,17 +162,32 @@ def sq8_encode(base: DataFrame, bounds: DataFrame) -> DataFrame:
 
     @F.arrow_udf("binary")
     def encoded(vector: pa.Array) -> pa.Array:
-        steps = np.floor((topk.vectors(vector) - lo) / span * 255.0 + 0.5)
-        codes = np.clip(steps, 0, 255).astype(np.uint8)
-        return pa.array([row.tobytes() for row in codes], pa.binary())
+        rows = topk.vectors(vector)
+        good = np.isfinite(rows).all(axis=1)
+        steps = np.floor((np.where(good[:, None], rows, 0.0) - lo) / span * 255.0 + 0.5)
+        return _codes(np.clip(steps, 0, 255).astype(np.uint8), good)
 
-    rows = session.spread(base.filter(F.col("vector").isNotNull()))
-    return rows.withColumn("code", encoded("vector")).drop("vector")
+    rows = session.spread(_fitting(base, len(lo)))
+    return rows.withColumn("code", encoded("vector")).drop("vector").filter(F.col("code").isNotNull())
+
+
+def _codes(codes: np.ndarray, good: np.ndarray) -> pa.Array:
+    """Binary column of the rows of ``codes``, cut from one buffer; null where a row is not ``good``."""
+    width = codes.shape[1]
+    offsets = np.arange(len(codes) + 1, dtype=np.int32) * width
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(codes))]
+    whole = pa.Array.from_buffers(pa.binary(), len(codes), buffers)
+    return whole if good.all() else pa.compute.if_else(pa.array(good), whole, None)
 
 
 def _code_bytes(column: pa.Array) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, np.uint8).reshape(len(column), -1)
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if not len(column):
+        return np.empty((0, 0), np.uint8)
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.reshape(len(column), -1)
 
 
 def ivf_sq8_search(
@@ -155,28 +209,19 @@ def ivf_sq8_search(
 
 def _codebook_arrays(codebooks: DataFrame) -> np.ndarray:
     """Array (m, codes, sub-dimension) of a (sub, code, centroid) table."""
-    if not session.small_enough(codebooks, MAX_CENTROIDS):
-        raise ValueError(f"more than {MAX_CENTROIDS} codewords")
+    _require_small(codebooks)
     table = codebooks.orderBy("sub", "code").select("sub", "centroid").toArrow()
     m = len(set(table.column("sub").to_pylist()))
     words = topk.vectors(table.column("centroid"))
     return words.reshape(m, -1, words.shape[1])
 
 
-def pq_train(
-    base: DataFrame, m: int = PQ_M, nbits: int = PQ_NBITS, iterations: int = 10, seed: int = 0
-) -> DataFrame:
-    """(sub, code, centroid): k-means of every sub-vector, all of them in one pass per round.
+def _lloyd(rows: DataFrame, words: np.ndarray, iterations: int) -> np.ndarray:
+    """Rounds of k-means of every sub-vector from ``words`` (sub, code, element), all in one pass per round.
 
-    Starts from the rows with the smallest hash of (id, seed); a codeword that
-    wins no row keeps its place.
+    A codeword that wins no row keeps its place; means are rounded to nine digits.
     """
-    rows = session.spread(base.select("id", "vector").filter(F.col("vector").isNotNull()))
-    start = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(2**nbits).toArrow()
-    first = topk.vectors(start.column("vector"))
-    if not len(first) or first.shape[1] % m:
-        raise ValueError("m must divide the dimension of a non-empty table")
-    words = first.reshape(len(first), m, -1).transpose(1, 0, 2).copy()
+    m = words.shape[0]
     schema = "sub int, code int, total array<double>, n bigint"
     for _ in range(iterations):
         now = words
@@ -186,7 +231,8 @@ def pq_train(
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                split = topk.vectors(batch.column(0)).reshape(batch.num_rows, m, -1)
+                split = _finite(topk.vectors(batch.column(0)))
+                split = split.reshape(len(split), m, -1)
                 for s in range(m):
                     won = topk.nearest(split[:, s], now[s], 1)[:, 0]
                     np.add.at(total[s], won, split[:, s])
@@ -215,6 +261,22 @@ def pq_train(
         words[tuple(at)] = np.round(means.column("mean").to_numpy(), 9)
         if np.array_equal(words, now):
             break
+    return words
+
+
+def pq_train(
+    base: DataFrame, m: int = PQ_M, nbits: int = PQ_NBITS, iterations: int = 10, seed: int = 0, start: DataFrame | None = None
+) -> DataFrame:
+    """(sub, code, centroid): k-means of every sub-vector.
+
+    Starts from the rows with the smallest hash of (id, seed), or from the
+    whole vectors of ``start`` (list_id, centroid).
+    """
+    rows = _training_rows(base)
+    first = _matrix(start, "list_id")[1] if start is not None else _start(rows, 2**nbits, seed)
+    if not len(first) or first.shape[1] % m:
+        raise ValueError("m must divide the dimension of a non-empty table")
+    words = _lloyd(rows, first.reshape(len(first), m, -1).transpose(1, 0, 2).copy(), iterations)
     out = [
         (s, c, [float(x) for x in words[s, c]])
         for s in range(words.shape[0])
@@ -233,12 +295,11 @@ def pq_encode(base: DataFrame, codebooks: DataFrame) -> DataFrame:
     @F.arrow_udf("binary")
     def encoded(vector: pa.Array) -> pa.Array:
         split = topk.vectors(vector).reshape(len(vector), m, -1)
-        won = [topk.nearest(split[:, s], words[s], 1)[:, 0] for s in range(m)]
-        codes = np.stack(won, axis=1).astype(np.uint8)
-        return pa.array([row.tobytes() for row in codes], pa.binary())
+        won = np.stack([topk.nearest(split[:, s], words[s], 1)[:, 0] for s in range(m)], axis=1)
+        return _codes(won.astype(np.uint8), (won >= 0).all(axis=1))
 
-    rows = session.spread(base.filter(F.col("vector").isNotNull()))
-    return rows.withColumn("code", encoded("vector")).drop("vector")
+    rows = session.spread(_fitting(base, m * words.shape[2]))
+    return rows.withColumn("code", encoded("vector")).drop("vector").filter(F.col("code").isNotNull())
 
 
 def ivf_pq_search(
@@ -266,9 +327,11 @@ def rerank_search(
     if raw is None:
         return ivf_pq_search(lists, codebooks, centroids, queries, k, nprobe, metric, **options)
     found = ivf_pq_search(lists, codebooks, centroids, queries, k * refine, nprobe, metric, **options)
+    found = session.cut(found.select("query_id", "id"))
+    # Raw rows are reduced by the candidates first, without a shuffle while these are few (counted).
+    wanted = session.broadcast_checked(found.select("id").distinct(), CANDIDATE_ROWS)
     pairs = (
-        found.select("query_id", "id")
-        .join(raw.select("id", "vector"), "id")
+        found.join(raw.select("id", "vector").join(wanted, "id", "left_semi"), "id")
         .join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
     )
     scored = pairs.select("query_id", "id", metrics.score("asked", "vector", metric).alias("score"))

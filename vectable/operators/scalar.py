@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PREFIX_LENGTHS = 65536
 _BITMAP_ROWS = 32768  # fixed value: positions per bitmap of Spark's bitmap functions
 
 
@@ -118,7 +117,8 @@ def autocomplete(df: DataFrame, col: str, prefixes: DataFrame, k: int) -> DataFr
     equality on its leading characters.
     """
     wanted = prefixes.select("prefix").distinct().withColumn("length", F.char_length("prefix"))
-    lengths = [r[0] for r in wanted.select("length").distinct().limit(MAX_PREFIX_LENGTHS).collect()]
+    # Distinct lengths are no more than the longest prefix has characters.
+    lengths = [r[0] for r in wanted.select("length").distinct().collect()]
     values = df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("completion")).agg(
         F.count("*").alias("n")
     )

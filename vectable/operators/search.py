@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectable import session
 from vectable.functions import topk
@@ -27,6 +28,8 @@ BASE_CELL_BYTES = 32 * 1024 * 1024
 QUERY_CELL_BYTES = 8 * 1024 * 1024
 MAX_LISTED_KEYS = 1000
 TASKS_PER_CORE = 4
+TASK_BYTES = 1024 * 1024 * 1024
+MAX_TASKS = 100_000
 
 
 def top_ranked(scored: DataFrame, k: int, metric: str) -> DataFrame:
@@ -88,8 +91,10 @@ def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool)
             yield _emit(best, query_ids, id_type)
 
     columns = ["id", "vector"] + (["key"] if keyed else [])
-    # Few long tasks rather than one per split: each task emits k rows per query.
-    tasks = TASKS_PER_CORE * base.sparkSession.sparkContext.defaultParallelism
+    # Few long tasks rather than one per split, as each emits k rows per query; but
+    # none of more than TASK_BYTES, however few cores the application has at its start.
+    by_bytes = min(-(-session.estimated_bytes(base) // TASK_BYTES), MAX_TASKS)
+    tasks = max(TASKS_PER_CORE * base.sparkSession.sparkContext.defaultParallelism, by_bytes)
     return base.select(*columns).coalesce(tasks).mapInArrow(scan, schema)
 
 
@@ -168,16 +173,23 @@ def search(
     decode = decode or (lambda column: topk.vectors(column, bits))
     queries = queries.filter(F.col("vector").isNotNull())
     base = base.filter(F.col("vector").isNotNull())
+    if bits:
+        queries, base = (df.filter(~F.exists("vector", lambda x: x.isNull())) for df in (queries, base))
+    # The dimension is that of most queries; other queries and rows take no part.
+    dim_of_most = queries.agg(F.mode(F.size("vector"), True)).first()[0]
+    if dim_of_most is not None:
+        queries = queries.filter(F.size("vector") == dim_of_most)
+        if isinstance(base.schema["vector"].dataType, T.ArrayType):
+            base = base.filter(F.size("vector") == dim_of_most)
     shape = queries.agg(
         F.count("*").alias("n"),
-        F.max(F.size("vector")).alias("dim"),
         F.coalesce(F.sum(F.size("keys") if keyed else F.lit(0)), F.lit(0)).alias("n_keys"),
     ).first()
     schema = _result_schema(base, queries)
     if not shape["n"] or k < 1:
         empty = base.sparkSession.createDataFrame([], schema)
         return top_ranked(empty, max(k, 1), metric)
-    dim = shape["dim"] * (64 if bits else 1)
+    dim = dim_of_most * (64 if bits else 1)
     base = session.spread(base)
     if shape["n"] * dim * 8 + shape["n_keys"] * 64 <= broadcast_bytes:
         columns = ["query_id", "vector"] + (["keys"] if keyed else [])

@@ -1,4 +1,4 @@
-"""Choice of a search method from the size of the base table."""
+"""Search by a named method, exact by default; suggestions by the size of the base table."""
 
 from __future__ import annotations
 
@@ -19,29 +19,28 @@ def suggested_nlist(rows: int) -> int:
 
 
 def method_for(rows: int) -> str:
-    """Below a million rows exact search, then inverted lists, then codes with re-ranking."""
+    """A suggestion for the caller: below a million rows exact search, then inverted lists, then codes with re-ranking."""
     if rows <= EXACT_ROWS:
         return "exact"
     return "lists" if rows <= LISTED_ROWS else "codes"
 
 
 def auto_search(
-    base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", method: str | None = None,
+    base: DataFrame, queries: DataFrame, k: int, metric: str = "L2", method: str = "exact",
     nlist: int | None = None, nprobe: int | None = None,
 ) -> DataFrame:
-    """k nearest rows by the method that suits the number of base rows.
+    """k nearest rows: exact at every size, unless ``method`` names "lists" or "codes".
 
-    The caller asked for the method to be chosen, so above the exact size the
-    result is approximate. ``method`` overrides the choice.
+    ``method_for`` suggests one; only the number of lists follows the size by itself.
     """
-    rows = base.count()
-    method = method or method_for(rows)
     if method == "exact":
         return knn(base, queries, k, metric)
-    nlist = nlist or suggested_nlist(rows)
+    if method not in ("lists", "codes"):
+        raise ValueError(f"unknown method {method!r}")
+    nlist = nlist or suggested_nlist(base.count())
     nprobe = nprobe or max(1, nlist // 16)
     centroids = ivf.train_lists(base, nlist)
-    lists = ivf.assign_lists(base, centroids)
+    lists = ivf.assign_lists(base, centroids, metric)
     if method == "lists":
         return ivf.ivf_search(lists, centroids, queries, k, nprobe, metric)
     codebooks = ivf.pq_train(base)
