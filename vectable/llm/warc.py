@@ -8,8 +8,8 @@ Reading. Each file is walked member by member (gzip) or record by record
 (plain). A record is accepted when its version line, header block, length, end
 mark and payload digest are right. When a check fails, the reader searches for
 the next gzip member or ``WARC/`` version line whose record passes, and the
-bytes between are logged as a gap. Files are read whole by a task; keep them
-at the size of a partition, as the writer does.
+bytes between are logged as a gap. Files are read whole by a task; the writer
+ends a file at the number of records that makes about ``FILE_BYTES``.
 
 Results in odd cases: a null payload is the empty payload; null or blank
 addresses are written as "about:blank", white space in them as %20; equal
@@ -29,8 +29,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectable.llm.arrow import slices
+from vectable.llm.registry import written
+from vectable.session import broadcast_checked
 
 LEAST = 1000  # fixed value: payload bytes from which equal payloads are written once
+FILE_BYTES = 32 * 1024 * 1024
+REPEAT_ROWS = 500_000
 DATE = "2024-01-01T00:00:00Z"  # nothing reads the clock; an argument of the writer
 END = b"\r\n\r\n"
 RECORDS = (
@@ -40,20 +44,20 @@ RECORDS = (
 
 
 def with_digests(pages: DataFrame, page_id: str, payload: str) -> DataFrame:
-    """(page_id, url..., payload, digest, refers_to): repeats of a payload of ``LEAST`` bytes refer to its largest id.
+    """``pages`` with payload, digest and refers_to: repeats of a payload of ``LEAST`` bytes refer to its largest id.
 
-    The largest id per payload is a map-side aggregation; it is joined back by
-    digest with a sort-merge join, whose hot digests adaptive execution splits.
+    The largest id per payload is a map-side aggregation over digests; it is
+    joined back to ids and digests only. The repeats found are brought to the
+    payloads by id, broadcast while they are few (counted), so that payloads
+    are shuffled only when there are many.
     """
     body = F.coalesce(F.col(payload), F.lit(""))
-    known = pages.withColumn("payload", body).withColumn("digest", F.sha1(body.cast("binary")))
-    known = known.withColumn("size", F.octet_length("payload").cast("bigint"))
-    chosen = (
-        known.filter(F.col("size") >= LEAST).groupBy("digest", "size")
-        .agg(F.max(page_id).alias("chosen"), F.count("*").alias("copies")).filter("copies > 1")
-    )
-    joined = known.join(chosen.drop("copies").hint("merge"), ["digest", "size"], "left")
-    return joined.withColumn("refers_to", F.when(F.col("chosen") != F.col(page_id), F.col("chosen"))).drop("chosen")
+    known = pages.drop("digest", "refers_to").withColumn("payload", body).withColumn("digest", F.sha1(body.cast("binary")))
+    narrow = known.select(page_id, "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= LEAST)
+    chosen = narrow.groupBy("digest", "size").agg(F.max(page_id).alias("chosen"), F.count("*").alias("copies"))
+    repeats = narrow.join(chosen.filter("copies > 1"), ["digest", "size"]).filter(F.col("chosen") != F.col(page_id))
+    repeats = written(repeats.select(page_id, "digest", F.col("chosen").alias("refers_to")).distinct(), "repeats")
+    return known.join(broadcast_checked(repeats, REPEAT_ROWS), [page_id, "digest"], "left")
 
 
 def record_text(page_id: Column, url: Column, payload: Column, digest: Column, refers_to: Column, date: str) -> Column:
@@ -90,7 +94,9 @@ def write_archives(
     rows = pages.select(F.col(page_id).alias("page"), F.col(url).alias("url"), F.col(payload).alias("html"))
     rows = with_digests(rows, "page", "html")
     text = record_text(*(F.col(c) for c in ("page", "url", "payload", "digest", "refers_to")), date)
-    rows.select(text.alias("value")).write.option("lineSep", "\r\n").option("compression", compression).text(path)
+    mean = pages.agg(F.avg(F.coalesce(F.octet_length(payload), F.lit(0)))).first()[0] or 0
+    sink = rows.select(text.alias("value")).write.option("lineSep", "\r\n").option("compression", compression)
+    sink.option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 600)))).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
