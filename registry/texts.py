@@ -123,7 +123,7 @@ def minhash(spark, sf_dir):
 @query(
     "lsh_candidates",
     f"""{_SIG}, {_bands('bands', 'sig')}
-    select distinct f.first as first_id, b.id
+    select distinct b.band::int as band, f.first as first_id, b.id
     from bands b join (select band, key, min(id) as first from bands group by 1, 2) f using (band, key)
     where b.id <> f.first""",
 )
@@ -141,7 +141,8 @@ THRESHOLD = 0.7
     scored as (
       select p.first_id, p.id, round(len(list_intersect(x.g, y.g))::double
         / len(list_distinct(list_concat(x.g, y.g))), 6) as jaccard
-      from pairs p join sets x on x.id = p.first_id join sets y on y.id = p.id)
+      from pairs p join sets x on x.id = p.first_id join sets y on y.id = p.id
+    where not list_contains(x.g, '') and not list_contains(y.g, ''))
     select id, min(first_id) as first_id, arg_min(jaccard, first_id) as jaccard
     from scored where jaccard >= {THRESHOLD} group by 1""",
 )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,13 +51,15 @@ def upsert(
     """Insert new keys and replace existing ones by the row with the latest ``ts``.
 
     At equal ``ts`` a change wins over a base row, then the larger ``tie_cols``.
+    Rows without a key replace nothing and are all kept.
     """
     both = base.withColumn("_new", F.lit(0)).unionByName(
         changes.withColumn("_new", F.lit(1)), allowMissingColumns=True
     )
     order = [F.col(ts).desc_nulls_last(), F.col("_new").desc()]
     order += [F.col(c).desc_nulls_last() for c in tie_cols]
-    return latest(both, pk, order).drop("_new")
+    keyed, loose = both.filter(F.col(pk).isNotNull()), both.filter(F.col(pk).isNull())
+    return latest(keyed, pk, order).unionByName(loose).drop("_new")
 
 
 def duplicate_keys(df: DataFrame, pk: str) -> DataFrame:
@@ -65,13 +67,25 @@ def duplicate_keys(df: DataFrame, pk: str) -> DataFrame:
     return df.groupBy(pk).agg(F.count("*").alias("n")).filter(F.col("n") > 1)
 
 
+def _comparable(df: DataFrame, name: str) -> Column:
+    kind, col = df.schema[name].dataType, F.col(f"`{name}`")
+    if isinstance(kind, T.VariantType):
+        col = F.to_json(col)
+    elif isinstance(kind, T.MapType):
+        col = F.array_sort(F.map_entries(col))
+    return col.alias(name)
+
+
 def table_diff(old: DataFrame, new: DataFrame, pk: str) -> DataFrame:
-    """(pk, change, columns): rows added, removed or changed, with the changed columns."""
+    """(pk, change, columns): rows added, removed or changed, with the changed columns.
+
+    Maps are compared by their sorted entries, variants by their JSON text.
+    """
     shared = [c for c in old.columns if c in new.columns and c != pk]
-    left = old.select(F.col(pk), F.struct(*shared).alias("o"))
-    right = new.select(F.col(pk), F.struct(*shared).alias("n"))
+    left = old.select(F.col(pk), F.struct(*[_comparable(old, c) for c in shared]).alias("o"))
+    right = new.select(F.col(pk), F.struct(*[_comparable(new, c) for c in shared]).alias("n"))
     names = F.array_compact(
-        F.array(*[F.when(~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}")), F.lit(c)) for c in shared])
+        F.array(*[F.when(~F.col(f"o.`{c}`").eqNullSafe(F.col(f"n.`{c}`")), F.lit(c)) for c in shared])
     )
     change = (
         F.when(F.col("o").isNull(), "added")

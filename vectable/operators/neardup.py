@@ -17,11 +17,15 @@ _GROWTH = 16
 
 
 def hash_parameters(num_hash: int) -> list[tuple[int, int]]:
-    """(a, b) of the i-th hash (a * h + b) mod PRIME."""
-    return [
-        (1 + (i + 1) * 1103515245 % (PRIME - 1), (i + 1) * 12345 * 65539 % PRIME)
-        for i in range(num_hash)
-    ]
+    """(a, b) of the i-th hash (a * h + b) mod PRIME, drawn from a scrambled counter."""
+
+    def drawn(n: int) -> int:
+        x = (n + 1) * 0x9E3779B97F4A7C15 % 2**64
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> shift)) * factor % 2**64
+        return x ^ (x >> 31)
+
+    return [(1 + drawn(2 * i) % (PRIME - 1), drawn(2 * i + 1) % PRIME) for i in range(num_hash)]
 
 
 def minhash(df: DataFrame, num_hash: int = NUM_HASH) -> DataFrame:
@@ -69,14 +73,16 @@ def _buckets(banded: DataFrame) -> DataFrame:
 
 
 def lsh_candidates(sig: DataFrame, num_hash: int = NUM_HASH, bands: int = BANDS) -> DataFrame:
-    """(first_id, id): every row linked to the smallest id of each bucket it is in.
+    """(band, first_id, id): every row linked to the smallest id of each bucket it is in.
 
-    Two rows share a bucket exactly when they share that link, so the links say
-    what all pairs would say, in at most ``bands`` rows per signature.
+    A bucket is named by its band and its smallest id, which is in one bucket of
+    a band only: two rows share a bucket exactly when they share band and
+    first_id (or one is the other's). So the links say what all pairs would
+    say, in at most ``bands`` rows per signature.
     """
     banded = band_keys(sig, num_hash, bands)
     links = banded.join(_buckets(banded), ["band", "key"]).filter(F.col("id") != F.col("first"))
-    return links.select(F.col("first").alias("first_id"), "id").distinct()
+    return links.select("band", F.col("first").alias("first_id"), "id").distinct()
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -94,7 +100,8 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, first_id, jaccard): each text that repeats an earlier one, with the earliest.
 
-    ``df`` has ``id`` and ``text``. A text of fewer than n words is one shingle.
+    ``df`` has ``id`` and ``text``. A text of fewer than n words is one shingle;
+    null texts and texts without a word repeat nothing.
     ``first_id`` is the smallest id that shares a band and has at least the
     threshold's Jaccard similarity. Texts with the same shingles are folded into
     their smallest id first. Inside a bucket the members are compared with its
@@ -102,7 +109,7 @@ def near_duplicates(
     id could still be the answer; nothing is left out and no bucket is gathered
     in one task.
     """
-    texts = session.spread(df.select("id", F.coalesce("text", F.lit("")).alias("text")))
+    texts = session.spread(df.select("id", "text").filter(F.size(tokens(F.coalesce("text", F.lit("")))) > 0))
     grams = shingles(texts, "text", n)
     whole = F.array(F.array_join(tokens("text"), " "))
     grams = grams.withColumn("shingles", F.when(F.size("shingles") > 0, F.col("shingles")).otherwise(whole))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectable.functions import metrics
+from vectable.operators import keys
 from vectable.spec import META_COLUMN, VECTOR_TYPES, Field, TableSpec
 
 REASONS = "reasons"
@@ -52,6 +53,8 @@ def _column(field: Field, source: T.DataType) -> tuple[Column, list[tuple[str, C
         items = -(-field.dim // 64) if kind == "BinaryVector" else field.dim
         checks.append(("wrong dim", F.size(value) != items))
         checks.append(("null element", _has_null(value)))
+        if kind != "BinaryVector":
+            checks.append(("not finite", F.exists(value, lambda x: F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))))
     if not field.nullable:
         checks.append(("null", raw.isNull()))
     if kind in ("Float16Vector", "BFloat16Vector"):
@@ -76,23 +79,50 @@ def check(df: DataFrame, spec: TableSpec) -> DataFrame:
         failed += [F.when(F.coalesce(bad, F.lit(False)), F.lit(f"{field.name}: {why}")) for why, bad in checks]
     kept = [values.get(c, F.col(f"`{c}`")).alias(c) for c in df.columns]
     reasons = F.array_distinct(F.array_compact(F.array(*failed)))
-    return df.select(*kept, reasons.alias(REASONS), *_originals(df, spec))
+    return df.select(*kept, reasons.alias(REASONS), _originals(df))
 
 
-def _originals(df: DataFrame, spec: TableSpec) -> list[Column]:
-    text = F.to_json(F.struct(*[F.col(f.name).cast("string").alias(f.name) for f in spec.fields
-                                if not isinstance(df.schema[f.name].dataType, (T.ArrayType, T.MapType))]
-                             + [F.to_json(F.col(f.name)).alias(f.name) for f in spec.fields
-                                if isinstance(df.schema[f.name].dataType, (T.ArrayType, T.MapType))]))
-    return [text.alias("raw")]
+def _originals(df: DataFrame) -> Column:
+    """The whole row as JSON: declared and undeclared columns as they came."""
+    nested = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
+    as_text = []
+    for f in df.schema.fields:
+        col = F.col(f"`{f.name}`")
+        as_text.append((F.to_json(col) if isinstance(f.dataType, nested) else col.cast("string")).alias(f.name))
+    return F.to_json(F.struct(*as_text)).alias("raw")
 
 
 def conform(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     """(good, bad): rows that fit the declaration, and the others with ``reasons`` and ``raw``.
 
     Undeclared columns go into the dynamic column when the table has one and are
-    dropped otherwise.
+    dropped otherwise; ``raw`` holds them for misfits in either case. A table that
+    generates its ids takes rows without a key column, or with null keys: the
+    good rows get dense ids in the order of their other columns, after the
+    largest key given.
     """
+    if spec.generates_ids:
+        return _with_ids(df, spec)
+    return _conformed(df, spec)
+
+
+def _with_ids(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
+    pk = spec.by_name[spec.primary_key]
+    if pk.name not in df.columns:
+        df = df.withColumn(pk.name, F.lit(None).cast(pk.spark_type()))
+    keyless = df.filter(F.col(pk.name).isNull()).withColumn(pk.name, F.lit(0).cast(pk.spark_type()))
+    given, given_bad = _conformed(df.filter(F.col(pk.name).isNotNull()), spec)
+    fresh, fresh_bad = _conformed(keyless, spec)
+    largest = given.agg(F.max(F.col(pk.name).cast("bigint"))).first()[0]
+    fresh = fresh.drop(pk.name)
+    plain = [f.name for f in fresh.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    numbered = keys.assign_ids(fresh, plain, (largest or 0) + 1, pk.name)
+    numbered = numbered.withColumn(pk.name, F.col(pk.name).cast(pk.spark_type()))
+    no_key = F.lit(None).cast(fresh_bad.schema[pk.name].dataType)
+    return given.unionByName(numbered), given_bad.unionByName(fresh_bad.withColumn(pk.name, no_key))
+
+
+def _conformed(df: DataFrame, spec: TableSpec) -> tuple[DataFrame, DataFrame]:
     known = set(spec.by_name)
     checked = check(fold_dynamic(df, spec) if spec.dynamic else df, spec)
     declared = [f.name for f in spec.fields] + ([META_COLUMN] if spec.dynamic else [])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,10 @@ from vectable.spec import SpecError, TableSpec
 
 BUCKET = "_bucket"
 BUCKETS = 16
+SPEC_SUFFIX = ".spec"
+DECLARATION = "spec string, buckets int"
+POINTER_SUFFIX = ".published"
+POINTER = "serial bigint, version string"
 MAX_FILES = 1_000_000
 
 
@@ -30,7 +35,8 @@ def write_table(
     """Rows routed by hash of the partition key, sorted by the clustering key.
 
     The range split ends with the primary key, so one partition-key value that
-    holds many rows is spread over several tasks and files.
+    holds many rows is spread over several tasks and files. The declaration and
+    the number of buckets are kept beside the rows, at ``path`` + ".spec".
     """
     order = [spec.clustering_key] if spec.clustering_key else []
     order += [spec.primary_key]
@@ -43,22 +49,46 @@ def write_table(
     if spec.partition_key:
         out = out.partitionBy(BUCKET)
     out.parquet(path)
+    kept = df.sparkSession.createDataFrame([(spec.to_json(), buckets)], DECLARATION)
+    kept.coalesce(1).write.mode("overwrite").json(path + SPEC_SUFFIX)
+
+
+def read_declaration(spark: SparkSession, path: str) -> tuple[TableSpec, int] | None:
+    """(spec, buckets) of a table that ``write_table`` wrote; None where no declaration is kept."""
+    try:
+        kept = spark.read.schema(DECLARATION).json(path + SPEC_SUFFIX).first()
+    except AnalysisException:
+        return None
+    return (TableSpec.from_json(kept.spec), kept.buckets) if kept else None
 
 
 def read_table(
     spark: SparkSession,
     path: str,
-    spec: TableSpec,
+    spec: TableSpec | None = None,
     equals: dict[str, object] | None = None,
     between: dict[str, tuple] | None = None,
     where: Column | None = None,
-    buckets: int = BUCKETS,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Scan with pruning: partition-key values select buckets, ranges skip row groups."""
+    """Scan with pruning: partition-key values select buckets, ranges skip row groups.
+
+    Declaration and number of buckets are those that the table was written with; others are refused.
+    Without a kept declaration the caller names both, or buckets are not pruned.
+    """
+    kept = read_declaration(spark, path)
+    if kept:
+        if buckets not in (None, kept[1]):
+            raise SpecError(f"{path} has {kept[1]} buckets, not {buckets}")
+        if spec is not None and spec.partition_key != kept[0].partition_key:
+            raise SpecError(f"{path} is laid out by {kept[0].partition_key!r}, not {spec.partition_key!r}")
+        spec, buckets = spec or kept[0], kept[1]
+    elif spec is None:
+        raise SpecError(f"{path} keeps no declaration: name one")
     df = spark.read.parquet(path)
     for name, value in (equals or {}).items():
         values = list(value) if isinstance(value, (list, tuple, set)) else [value]
-        if name == spec.partition_key:
+        if name == spec.partition_key and buckets and BUCKET in df.columns:
             key_type = spec.by_name[name].spark_type()
             df = df.filter(F.col(BUCKET).isin(_bucket_numbers(spark, values, key_type, buckets)))
         df = df.filter(F.col(name).isin(values))
@@ -153,11 +183,14 @@ def publish_version(
     previous: str | None = None,
     buckets: int = BUCKETS,
 ) -> dict:
-    """Write ``root/version``, check it, then point the view ``name`` at it.
+    """Write ``root/version``, check it, then point ``name`` at it.
 
     Returns counts: rows, bad, duplicate_keys, and the difference to the
-    ``previous`` version. Duplicate keys stop the publication, and the view
-    keeps its old target. Old versions stay readable under their own path.
+    ``previous`` version. Duplicate keys stop the publication, and the name
+    keeps its old target. Old versions stay readable under their own path. The
+    pointer is a one-row table in ``root``, a new one for each publication, so
+    that it outlives the session (see ``read_published``); the session also
+    gets a view of that name.
     """
     spark = df.sparkSession
     good, bad = conform(df, spec)
@@ -173,7 +206,30 @@ def publish_version(
     if previous:
         old = spark.read.parquet(f"{root}/{previous}").drop(BUCKET)
         shared = [c for c in old.columns if c in written.columns]
+        report["columns_added"] = [c for c in written.columns if c not in shared]
+        report["columns_removed"] = [c for c in old.columns if c not in shared]
         diff = keys.table_diff(old.select(*shared), written.select(*shared), spec.primary_key)
         report["diff"] = {r["change"]: r["count"] for r in diff.groupBy("change").count().collect()}
     written.createOrReplaceTempView(name)
+    serial = (_pointer(spark, root, name) or (0, None))[0] + 1
+    pointer = spark.createDataFrame([(serial, version)], POINTER)
+    pointer.coalesce(1).write.mode("append").json(f"{root}/{name}{POINTER_SUFFIX}")
     return report
+
+
+def _pointer(spark: SparkSession, root: str, name: str) -> tuple[int, str] | None:
+    """(serial, version) of the last publication; a publication is one committed file."""
+    try:
+        kept = spark.read.schema(POINTER).json(f"{root}/{name}{POINTER_SUFFIX}")
+    except AnalysisException:
+        return None
+    last = kept.agg(F.max(F.struct("serial", "version")).alias("last")).first().last
+    return (last.serial, last.version) if last else None
+
+
+def read_published(spark: SparkSession, root: str, name: str, **options) -> DataFrame:
+    """The version that ``name`` points at, from any session."""
+    last = _pointer(spark, root, name)
+    if last is None:
+        raise SpecError(f"nothing is published as {name!r} in {root}")
+    return read_table(spark, f"{root}/{last[1]}", **options)

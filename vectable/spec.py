@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import json
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import types as T
 
@@ -27,7 +28,6 @@ VECTOR_TYPES = {
     "SparseFloatVector": T.MapType(T.IntegerType(), T.FloatType()),
 }
 LEVELS = ("Strong", "Bounded", "Session", "Eventually")
-METRICS = ("L2", "COSINE", "IP", "HAMMING", "JACCARD")
 MAX_VARCHAR_BYTES = 65535
 META_COLUMN = "$meta"
 
@@ -114,6 +114,14 @@ class TableSpec:
         if problems:
             raise SpecError("; ".join(problems))
 
+    def to_json(self) -> str:
+        return json.dumps(asdict(self))
+
+    @classmethod
+    def from_json(cls, text: str) -> TableSpec:
+        given = json.loads(text)
+        return cls(**given | {"fields": tuple(Field(**f) for f in given["fields"])})
+
     def _flagged(self, flag: str) -> str | None:
         return next((f.name for f in self.fields if getattr(f, flag)), None)
 
