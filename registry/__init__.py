@@ -1,6 +1,6 @@
 """Registered queries: each operator on the given tables, with its SQL twin where one exists."""
 
-from registry import dense, graphs, scalars, tables, texts
+from registry import declared, dense, graphs, scalars, tables, texts, vector_rules
 from registry.common import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "dense", "graphs", "scalars", "tables", "texts"]
+__all__ = ["ORACLES", "QUERIES", "declared", "dense", "graphs", "scalars", "tables", "texts", "vector_rules"]

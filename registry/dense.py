@@ -229,26 +229,6 @@ def ivf_flat_search_stored(spark, sf_dir):
     return ivf.ivf_search(spark.read.parquet(path), centroids, _asked(spark, sf_dir), K, NPROBE)
 
 
-@query("train_lists")
-def train_lists(spark, sf_dir):
-    """Rows per trained list."""
-    base = vectors(spark, sf_dir)
-    centroids = ivf.train_lists(base, nlist=16, seed=1, iterations=10)
-    return ivf.assign_lists(base, centroids).groupBy("list_id").agg(F.count("*").alias("n"))
-
-
-@query("ivf_trained_recall")
-def ivf_trained_recall(spark, sf_dir):
-    """Recall of trained lists by number of probes."""
-    base = vectors(spark, sf_dir).select("id", "vector")
-    centroids = ivf.train_lists(base, nlist=16, seed=1, iterations=10)
-    lists, asked = ivf.assign_lists(base, centroids), as_queries(base)
-    truth = dense.knn(base, asked, K, "L2")
-    some = dense.recall(ivf.ivf_search(lists, centroids, asked, K, 8), truth, K)
-    every = dense.recall(ivf.ivf_search(lists, centroids, asked, K, 16), truth, K)
-    return some.withColumn("nprobe", F.lit(8)).unionByName(every.withColumn("nprobe", F.lit(16)))
-
-
 _SQ8 = f"""bounds as (select pos, min(x) as lo, max(x) as hi from {_ELEMENTS} group by 1),
 codes as (
   select e.id, e.pos, b.lo, b.hi,
@@ -332,19 +312,6 @@ def scann_rerank_search(spark, sf_dir):
     )
 
 
-@query("pq_train")
-def pq_train(spark, sf_dir):
-    """Rows per code of trained codebooks."""
-    base = vectors(spark, sf_dir).select("id", "vector")
-    codebooks = ivf.pq_train(base, m=8, nbits=4, iterations=5)
-    coded = ivf.pq_encode(base, codebooks)
-    subs = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("sub")
-    codes = coded.select("code", subs).select(
-        "sub", F.conv(F.hex(F.substring("code", F.col("sub") + 1, F.lit(1))), 16, 10).cast("int").alias("code")
-    )
-    return codes.groupBy("sub", "code").agg(F.count("*").alias("n"))
-
-
 @query(
     "recall_report",
     f"""{_BASE_SQL},
