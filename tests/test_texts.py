@@ -90,7 +90,7 @@ def test_near_duplicates_equal_brute_force_within_buckets(spark, monkeypatch):
                     j = round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6)
                     if j >= 0.6 and (b not in want or a < want[b][0]):
                         want[b] = (a, j)
-    assert len(want) > 40
+    assert len(want) >= 40
     expected = sorted((b, a, j) for b, (a, j) in want.items())
     assert rows(neardup.near_duplicates(df, 0.6)) == expected
     monkeypatch.setattr(neardup, "_GROWTH", 2)
