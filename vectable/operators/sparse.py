@@ -102,15 +102,19 @@ def sparse_search_pruned(postings: DataFrame, queries: DataFrame, k: int) -> Dat
        and stay only if their bound reaches the floor, and then the higher
        floor that their own sums give.
     4. The surviving pairs are completed with the other terms.
+
+    The postings of the queries' terms are stored first; every step reads these.
     """
+    asked = session.cut(query_terms(queries))
+    used = session.broadcast_checked(asked.select("term").distinct(), MAX_BROADCAST_TERMS)
+    postings = session.stored(postings.select("term", "id", "weight").join(used, "term", "left_semi"), "postings")
     bounds = postings.groupBy("term").agg(F.max("weight").alias("hi"), F.min("weight").alias("lo"))
     high, low = F.col("asked") * F.col("hi"), F.col("asked") * F.col("lo")
     per_query = Window.partitionBy("query_id")
     strongest = per_query.orderBy(F.col("up").desc(), "term")
     weakest = per_query.orderBy(F.col("up").asc(), F.col("term").desc())
     terms = session.cut(
-        query_terms(queries)
-        .join(bounds, "term")
+        asked.join(bounds, "term")
         .select(
             "query_id", "term", "asked",
             F.greatest(high, low, F.lit(0.0)).alias("up"),

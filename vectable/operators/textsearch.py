@@ -35,7 +35,8 @@ def text_match(
 
     ``queries`` has ``query_id`` and ``text``. With ``k`` the best k per query by
     matched tokens, then id, with their ``rank``. In mode "all" a text is reached through
-    the rarest token of the query alone, and checked against the others.
+    the rarest token of the query alone, and checked against the others: the
+    corpus is tokenized once, and what the queries' tokens reach is stored.
     """
     texts = session.spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")))
     words = one_per_row(texts, F.array_distinct(tokens("_text")), "id")
@@ -47,8 +48,8 @@ def text_match(
     elif mode == "all":
         terms = session.cut(terms)
         used = session.broadcast_checked(terms.select("term").distinct(), 1_000_000)
-        relevant = words.join(used, "term", "left_semi")
-        lead = session.cut(_rarest(words.select("term"), terms))
+        relevant = session.stored(words.join(used, "term", "left_semi"), "words")
+        lead = session.cut(_rarest(relevant, terms))
         lead = session.broadcast_checked(lead, 1_000_000)
         proposed = relevant.join(lead, "term").select("query_id", "id")
         needed = terms.groupBy("query_id").agg(F.count("*").alias("needed"))
@@ -72,10 +73,8 @@ def text_match(
 
 
 def _rarest(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """(query_id, term): the token of each query that the fewest texts hold; absent counts as 0."""
-    used = terms.select("term").distinct()
-    common = words.join(session.broadcast_checked(used, 1_000_000), "term", "left_semi")
-    counts = common.groupBy("term").agg(F.count("*").alias("df"))
+    """(query_id, term): the token of each query with the fewest rows in ``words``; absent counts as 0."""
+    counts = words.groupBy("term").agg(F.count("*").alias("df"))
     order = Window.partitionBy("query_id").orderBy("df", "term")
     return (
         terms.join(counts, "term", "left")
@@ -98,14 +97,13 @@ def phrase_match(df: DataFrame, col: str, queries: DataFrame, id_col: str = "id"
     spots = session.cut(
         placed_per_row(asked, "phrase", "query_id").withColumnRenamed("pos", "offset")
     )
+    used = session.broadcast_checked(spots.select("term").distinct(), 1_000_000)
+    relevant = session.stored(words.join(used, "term", "left_semi"), "words")
     lead = session.cut(
-        spots.join(_rarest(words.select("term"), spots.select("query_id", "term").distinct()),
-                   ["query_id", "term"])
+        spots.join(_rarest(relevant, spots.select("query_id", "term").distinct()), ["query_id", "term"])
         .groupBy("query_id", "term")
         .agg(F.min("offset").alias("offset"))
     )
-    used = session.broadcast_checked(spots.select("term").distinct(), 1_000_000)
-    relevant = words.join(used, "term", "left_semi")
     proposed = (
         relevant.join(session.broadcast_checked(lead, 100_000), "term")
         .select("query_id", "id", (F.col("pos") - F.col("offset")).alias("start"))
