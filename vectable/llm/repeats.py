@@ -11,14 +11,11 @@ in a document of a smaller id, or earlier in the same document.
    once, so a passage of many documents is no hot key.
 3. The bytes of the other runs go to shards by key, so that equal strings meet. A
    shard of more than ``SHARD_BYTES`` is cut into parts, and each pair of parts
-   is one task. Each part gets a suffix array by Larsson-Sadakane refinement and
+   is one task. Equal chunks of a part are folded to the first; the rest of a part gets a suffix array by Larsson-Sadakane refinement and
    Kasai's common prefixes, whose classes of equal strings show the repeats; two
    parts are merged by binary search of the classes of one in the other.
 4. Repeats go back to their documents as ranges of starts.
 
-Texts are not shuffled where the lists of starts or ranges, whose bytes are
-counted, can be broadcast; beyond that they are joined by key.
-
 Results in odd cases: null texts are empty; texts of fewer bytes than
 ``LENGTH`` stay whole; rows of the same id and text are the same document and
 lose the same bytes; rows of the same id and other text come one after the
@@ -45,7 +42,6 @@ from vectable.session import by_key
 LENGTH = 100  # fixed value
 GRAM = 24
 SHARD_BYTES = 1024 * 1024
-BROADCAST_BYTES = 48 * 1024 * 1024
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -94,7 +90,7 @@ def _keyed(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
+            for part in slices(batch, 1):
                 docs = part.column(0).to_numpy(zero_copy_only=False)
                 texts = [(t or "").encode() for t in part.column(1).to_pylist()]
                 owner, start, n, key = runs_of(texts, length)
@@ -140,7 +136,7 @@ def _chunks(shards: int, length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index("text"), 1 << 20):
+            for part in slices(batch, batch.schema.get_field_index("text")):
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 ids = pc.fill_null(part.column("id"), np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
                 ties = part.column("tie").to_numpy(zero_copy_only=False)
@@ -180,6 +176,12 @@ class _Part:
 
     def __init__(self, rows: dict, chosen: np.ndarray, length: int):
         order = chosen[np.lexsort((rows["start"][chosen], rows["tie"][chosen], rows["id"][chosen]))]
+        first: dict[bytes, int] = {}
+        fresh = np.array([first.setdefault(rows["chunk"][i], i) == i for i in order.tolist()], bool)
+        again, order = order[~fresh], order[fresh]
+        #: chunks that say an earlier one again: all their starts are repeats
+        self.again = {"id": rows["id"][again], "tie": rows["tie"][again], "low": rows["start"][again]}
+        self.again["high"] = self.again["low"] + rows["n"][again] - 1
         chunks = [rows["chunk"][i] for i in order]
         n, size = rows["n"][order], np.array([len(c) for c in chunks], np.int64)
         begin = np.cumsum(size) - size
@@ -220,26 +222,20 @@ def _compared(length: int):
         rows["chunk"] = table.column("chunk").to_pylist()
         left = _Part(rows, np.flatnonzero(rows["part"] == a), length)
         if a == b:
-            return pa.table(left.ranges(left.shard.repeats()))
+            return pa.concat_tables([pa.table(left.ranges(left.shard.repeats())), pa.table(left.again)])
         right = _Part(rows, np.flatnonzero(rows["part"] == b), length)
         return pa.concat_tables([pa.table(left.ranges(left.later(right))), pa.table(right.ranges(right.later(left)))])
 
     return run
 
 
-def _brought(df: DataFrame, lists: DataFrame, on: list[str], size: str) -> DataFrame:
-    """``df`` left-joined with ``lists``: broadcast when their counted bytes are few, else shuffled by key."""
-    total = lists.agg(F.sum(F.size(size) * 16 + 64)).first()[0] or 0
-    return df.join(F.broadcast(lists) if total <= BROADCAST_BYTES else lists, on, "left")
-
-
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, tie, ranges) of documents (id long, tie, text): starts (low to high) of strings that occurred before."""
     named = docs.select("id", "tie", F.xxhash64("id", "tie").alias("doc"), "text").filter(F.octet_length("text") >= length)
     keyed = named.select("doc", "text").mapInArrow(_keyed(length), "key bigint, doc bigint, start bigint")
     found = by_key(keyed, "key").mapInArrow(_repeated, "doc bigint, start bigint")
     lists = written(found.groupBy("doc").agg(F.collect_set("start").alias("starts")), "starts")
-    joined = _brought(named, lists, ["doc"], "starts").filter("starts is not null")
+    joined = named.join(lists, "doc")
     runs = lists.agg(F.sum(F.size("starts"))).first()[0] or 0
     shards = max(1, runs * 2 * length // SHARD_BYTES)
     chunks = written(
@@ -261,19 +257,24 @@ def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return written(every.agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """``docs`` with n_bytes, spans (start, end: maximal removed runs in bytes) and kept (the remaining bytes)."""
+def without_repeats(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, as_text: bool = False
+) -> DataFrame:
+    """``docs`` with n_bytes, spans (start, end: maximal removed runs in bytes) and kept (the remaining bytes).
+
+    ``as_text`` makes ``kept`` a string of the characters that are still whole.
+    """
     docs = docs.drop("n_bytes", "spans", "kept")
     least = F.lit(np.iinfo(np.int64).min)
     tie = F.xxhash64(F.coalesce(text, F.lit("")))
     found = repeated_ranges(docs.select(F.coalesce(F.col(doc_id), least).alias("id"), tie.alias("tie"), F.col(text).alias("text")), length)
     keyed = docs.withColumn("_id", F.coalesce(F.col(doc_id), least)).withColumn("_tie", tie)
     lists = found.select(F.col("id").alias("_id"), F.col("tie").alias("_tie"), F.col("ranges").alias("_ranges"))
-    joined = _brought(keyed, lists, ["_id", "_tie"], "_ranges").drop("_id", "_tie")
+    joined = keyed.join(lists, ["_id", "_tie"], "left").drop("_id", "_tie")
     kept = docs.schema.fields
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType(
-        [*kept, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.BinaryType())]
+        [*kept, T.StructField("n_bytes", T.LongType()), T.StructField("spans", T.ArrayType(span)), T.StructField("kept", T.StringType() if as_text else T.BinaryType())]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +294,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     | {
                         "n_bytes": pa.array([len(t) for t in texts], pa.int64()),
                         "spans": pa.array(spans, pa.list_(made)),
-                        "kept": pa.array(left, pa.binary()),
+                        "kept": pa.array([b.decode("utf-8", "ignore") for b in left], pa.string()) if as_text else pa.array(left, pa.binary()),
                     }
                 )
 
