@@ -37,8 +37,9 @@ def ingest_stream(
 
     ``ts`` is an undeclared event-time column, kept next to the declared ones.
     Misfits are set aside before keys are compared, so a bad row never hides a
-    good one. Each batch is written under its own number; a batch that is run
-    again replaces its own files.
+    good one. Each batch is written under the stream's id and its own number: a
+    batch that is run again replaces its own files, and a new checkpoint on an
+    old target replaces none.
     """
     checked = check(stream.withColumn(ts, F.col(ts).cast("timestamp")), spec)
     timeless = F.when(F.col(ts).isNull(), F.array(F.lit(f"{ts}: null"))).otherwise(F.array().cast("array<string>"))
@@ -52,10 +53,13 @@ def ingest_stream(
     )
 
     def write(batch: DataFrame, number: int) -> None:
+        # The checkpoint names its stream before the first batch.
+        named = batch.sparkSession.read.text(f"{checkpoint}/metadata").select(F.get_json_object("value", "$.id"))
+        run = named.first()[0]
         batch.persist()
         for side, target in (("good", path), ("bad", quarantine)):
             rows = batch.filter(F.col(side).isNotNull()).select(f"{side}.*")
-            rows.write.mode("overwrite").parquet(f"{target}/batch={number}")
+            rows.write.mode("overwrite").parquet(f"{target}/run={run}/batch={number}")
         batch.unpersist()
 
     writer = both.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
