@@ -4,8 +4,8 @@ Subwords are the byte 2-, 3- and 4-grams of the lower-cased text with every run
 of other than letters as one space; each is hashed to a row of an embedding
 table. A text is the mean of its rows, a linear layer and a softmax give the
 classes. Embeddings and layer are trained by stochastic gradient descent in
-numpy on a bounded sample of labelled rows (``SAMPLE_ROWS`` per label of at
-most ``SAMPLE_BYTES`` each, by the order of a hash of the id). A temperature is
+numpy on a bounded sample of labelled rows (``SAMPLE_ROWS`` per label,
+``SAMPLE_TOTAL`` in all, of at most ``SAMPLE_BYTES`` each, by a hash of the id). A temperature is
 fitted on a part of the sample that takes no steps, and the rejection
 threshold is the highest score of that part below which nearly all answers are
 wrong (``SPARED``), for no more than ``FLOOR`` of the rows.
@@ -30,9 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectable.llm.arrow import slices
+from vectable.session import broadcast_checked
 
 SAMPLE_ROWS = 1000
-SAMPLE_BYTES = 32768
+SAMPLE_TOTAL = 6000
+SAMPLE_BYTES = 16384
+MOST_LABELS = 10_000
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
 DIM = 16
@@ -41,6 +44,7 @@ RATE = 0.5
 #: Scores are rejected only as far as at most this share of the held-back answers below is right.
 SPARED = 0.2
 FLOOR = 0.02  # share of held-back rows that may fall below the rejection threshold
+EVIDENCE = 5  # wrong answers that a threshold needs below it
 UNKNOWN = "und"
 _ORDERS = (2, 3, 4)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -69,6 +73,12 @@ def buckets_of(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(distinct buckets, counts) of each text."""
+    orders = buckets_of(texts)
+    return [np.unique(np.concatenate([b[f[n] : f[n + 1]] for b, f in orders]), return_counts=True) for n in range(len(texts))]
+
+
 @dataclass
 class Model:
     """Class scores per bucket (embedding times layer), bias, temperature and rejection threshold."""
@@ -97,11 +107,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=-1, keepdims=True)
 
 
-def sample(rows: DataFrame, per_label: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
-    """(text, lang) of at most ``per_label`` rows of (id, text, lang) per label."""
+def sample(rows: DataFrame, per_label: int = SAMPLE_ROWS, most_bytes: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL) -> DataFrame:
+    """(text, lang) of at most ``per_label`` rows of (id, text, lang) per label, and about ``total`` in all.
+
+    Labels are counted first, so that tasks send about twice the wanted rows
+    whatever the size of the table.
+    """
     held = rows.filter("lang is not null and text is not null").filter(F.octet_length("text") <= most_bytes)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    return held.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("text", "lang")
+    counts = held.groupBy("lang").agg(F.count("*").alias("n_rows"))
+    per_label = max(1, min(per_label, total // max(1, counts.count())))
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / F.lit(1 << 30)
+    drawn = held.join(broadcast_checked(counts, MOST_LABELS), "lang").filter(draw * F.col("n_rows") < 2 * per_label)
+    order = Window.partitionBy("lang").orderBy(draw, "id", F.xxhash64("text"))
+    return drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).select("text", "lang")
 
 
 def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
@@ -114,8 +132,7 @@ def train(rows: list[tuple[str, str]], seed: int = 7) -> Model | None:
     order = random.permutation(len(rows))
     texts = [rows[i][0].encode() for i in order]
     target = np.array([labels.index(rows[i][1]) for i in order])
-    orders = buckets_of(texts)
-    bags = [np.unique(np.concatenate([b[f[n] : f[n + 1]] for b, f in orders]), return_counts=True) for n in range(len(texts))]
+    bags = [bag for at in range(0, len(texts), 64) for bag in _bags(texts[at : at + 64])]
     table = random.normal(0, 0.1, (BUCKETS, DIM))
     layer, bias = np.zeros((DIM, len(labels))), np.zeros(len(labels))
     learn = [n for n in range(len(texts)) if n % 5 and len(bags[n][0])]
@@ -142,7 +159,7 @@ def calibrated(model: Model, texts: list[bytes], target: np.ndarray) -> Model:
     """Temperature of least log loss, then the rejection threshold, on held-back rows."""
     if not len(target):
         return model
-    z = model.logits(texts)
+    z = np.concatenate([model.logits(texts[at : at + 64]) for at in range(0, len(texts), 64)])
     doubt = 1 / (len(target) + 2)  # that no row was wrong does not prove that none will be
 
     def loss(t: float) -> float:
@@ -156,7 +173,7 @@ def calibrated(model: Model, texts: list[bytes], target: np.ndarray) -> Model:
     order = np.argsort(score)
     wrong = np.cumsum(~right[order])
     below = np.arange(1, len(order) + 1)
-    worth = np.flatnonzero((wrong >= below * (1 - SPARED)) & (below <= max(1, FLOOR * len(order))))
+    worth = np.flatnonzero((wrong >= np.maximum(EVIDENCE, below * (1 - SPARED))) & (below <= max(1, FLOOR * len(order))))
     if len(worth):
         model.threshold = float(np.nextafter(score[order[worth[-1]]], 1))
     return model
@@ -181,7 +198,7 @@ def predict(df: DataFrame, model: Model | None, text: str = "text") -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
-            for part in slices(batch, batch.schema.get_field_index(text), 1 << 20):
+            for part in slices(batch, batch.schema.get_field_index(text)):
                 texts = part.column(text).to_pylist()
                 letters = part.column(lettered).to_pylist()
                 langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
