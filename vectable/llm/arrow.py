@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Bytes of text that a task works on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 * 1024 * 1024
+SLICE_BYTES = 750_000
 
 
 def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -26,20 +26,19 @@ def slices(batch: pa.RecordBatch, column: int, most: int = SLICE_BYTES) -> Itera
         yield batch.slice(a, b - a)
 
 
-def with_column(
-    df: DataFrame, source: str, name: str, kind: T.DataType, function: Callable[[pa.Array], pa.Array]
+def with_columns(
+    df: DataFrame, source: str, made: dict[str, T.DataType], function: Callable[[pa.Array], list[pa.Array]]
 ) -> DataFrame:
-    """``df`` with column ``name`` made of column ``source``, in slices; a column of that name is replaced."""
-    df = df if name == source else df.drop(name)
-    kept = [f for f in df.schema.fields if f.name != name]
-    schema = T.StructType([*kept, T.StructField(name, kind)])
+    """``df`` with the columns ``made`` of column ``source``, in slices; columns of these names are replaced."""
+    df = df.drop(*(name for name in made if name != source))
+    kept = [f for f in df.schema.fields if f.name not in made]
+    schema = T.StructType([*kept, *(T.StructField(name, kind) for name, kind in made.items())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(source)
             for part in slices(batch, at):
-                made = function(part.column(at))
                 columns = {f.name: part.column(part.schema.get_field_index(f.name)) for f in kept}
-                yield pa.RecordBatch.from_pydict(columns | {name: made})
+                yield pa.RecordBatch.from_pydict(columns | dict(zip(made, function(part.column(at)), strict=True)))
 
     return df.mapInArrow(run, schema)

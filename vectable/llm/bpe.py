@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vectable.llm.arrow import with_column
+from vectable.llm.arrow import with_columns
 
 LONG_WORD = 256
 #: Words remembered by a worker; beyond it the memory starts anew (results stay the same).
-MEMO_WORDS = 400_000
+MEMO_WORDS = 250_000
 _SHIFT = 20
 _MASK = (1 << _SHIFT) - 1
 _NONE = 1 << 60
@@ -187,24 +187,33 @@ def vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(path or default_vocabulary())
 
 
-def encode(df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None) -> DataFrame:
-    """``df`` with the token ids (array of int) of column ``text``."""
+def encode(
+    df: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, decoded: str | None = None
+) -> DataFrame:
+    """``df`` with the token ids (array of int) of column ``text``.
 
-    def run(texts: pa.Array) -> pa.Array:
+    With ``decoded`` the ids are decoded into a column of that name in the same pass.
+    """
+
+    def run(texts: pa.Array) -> list[pa.Array]:
         known = vocabulary(path)
         coded = [known.encode(t or "") for t in texts.to_pylist()]
         ends = np.cumsum([0, *map(len, coded)])
         flat = np.concatenate([np.empty(0, np.int32), *coded])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+        out = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+        if decoded:
+            out.append(pa.array([known.decode(c.tolist()) for c in coded], pa.string()))
+        return out
 
-    return with_column(df, text, ids, T.ArrayType(T.IntegerType()), run)
+    made = {ids: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    return with_columns(df, text, made, run)
 
 
 def decode(df: DataFrame, ids: str = "ids", text: str = "decoded", path: str | None = None) -> DataFrame:
     """``df`` with the text of the token ids in column ``ids``; bytes that are not UTF-8 become U+FFFD."""
 
-    def run(coded: pa.Array) -> pa.Array:
+    def run(coded: pa.Array) -> list[pa.Array]:
         known = vocabulary(path)
-        return pa.array([None if i is None else known.decode(i) for i in coded.to_pylist()], pa.string())
+        return [pa.array([None if i is None else known.decode(i) for i in coded.to_pylist()], pa.string())]
 
-    return with_column(df, ids, text, T.StringType(), run)
+    return with_columns(df, ids, {text: T.StringType()}, run)

@@ -15,7 +15,7 @@ __all__ = ["ORACLES", "QUERIES"]
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text, and the text that they decode to, as digests."""
     texts = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.decode(bpe.encode(texts).select("doc_id", "ids"))
+    coded = bpe.encode(texts, decoded="decoded")
     listed = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",

@@ -5,13 +5,10 @@ Every stage but the last returns the columns that it was given.
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vectable.llm import bpe, decontaminate, jaccard, langid, repeats
-from vectable.llm.arrow import with_column
 from vectable.llm.queries import contaminated
 from vectable.llm.registry import table, written
 from vectable.session import broadcast_checked, ship_package
@@ -22,8 +19,10 @@ KEY_ROWS = 1_000_000
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognized: rejected ones, and texts without a letter, go."""
     ship_package(spark)
-    found = langid.predict(docs, langid.fit(docs))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    extra = [c for c in docs.columns if c in ("lang_pred", "score", "rejected")]
+    keyed = docs.withColumns({f"_given_{c}": F.col(c) for c in extra})
+    found = langid.predict(keyed, langid.fit(docs)).filter(~F.col("rejected"))
+    return found.select(*(F.col(f"_given_{c}").alias(c) if c in extra else c for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,18 +43,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A character that a cut divides goes as a whole; n_chars follows the text.
     """
     ship_package(spark)
-    found = with_column(repeats.without_repeats(docs), "kept", "_rest", T.StringType(), _whole_characters)
-    found = found.filter((F.size("spans") == 0) | (F.octet_length("_rest") > 0))
-    found = found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("_rest")))
+    extra = [c for c in docs.columns if c in ("n_bytes", "spans", "kept")]
+    keyed = docs.withColumns({f"_given_{c}": F.col(c) for c in extra})
+    found = repeats.without_repeats(keyed, as_text=True)
+    found = found.filter((F.size("spans") == 0) | (F.octet_length("kept") > 0))
+    found = found.withColumn("text", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.col("kept")))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         found = found.withColumn("n_chars", F.when(F.size("spans") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(kind))
-    return found.select(*docs.columns)
-
-
-def _whole_characters(raw: pa.Array) -> pa.Array:
-    """The texts of UTF-8 bytes, without what is not a whole character."""
-    return pa.array([None if b is None else b.decode("utf-8", "ignore") for b in raw.to_pylist()], pa.string())
+    return found.select(*(F.col(f"_given_{c}").alias(c) if c in extra else c for c in docs.columns))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,9 +68,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Columns of the documents with token ids, their number, and whether they decode to the text."""
     ship_package(spark)
-    coded = bpe.decode(bpe.encode(docs, "text", "ids"), "ids", "decoded")
+    coded = bpe.encode(docs, "text", "ids", decoded="decoded")
     return coded.select(
-        *docs.columns,
+        *(c for c in docs.columns if c not in ("ids", "n_tokens", "round_trip")),
         "ids",
         F.size("ids").cast("bigint").alias("n_tokens"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),

@@ -34,7 +34,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 LOWER, INSIDE, VALUE = _byte_tables()
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = pow(int(_BASE), -1, 1 << 64)
     steps = np.full(n, _BASE, np.uint64)
