@@ -15,7 +15,8 @@ its main text there. All other nodes are left to the tree.
 
 The tree is built by aggregations per (host, node, feature), combined in each
 task first, so a host with most of the pages is no hot group. Pages meet the
-few removed nodes of their host in a join by host, then are parsed once more.
+few removed nodes of their host in a join, broadcast while their bytes (counted) are few,
+beyond it by host with skewed hosts split, then are parsed once more.
 
 Results in odd cases: null or empty html gives the empty text; a null or odd
 address belongs to the host ""; broken markup (open tags, stray ends, cut
@@ -36,10 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectable.llm.arrow import slices
+from vectable.llm.registry import written
 from vectable.llm.words import text_hash
 
 GAMMA = 0.9
 LEAST = 0.3
+BROADCAST_BYTES = 16 * 1024 * 1024
 
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -223,7 +226,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float
     """``pages`` with their main text instead of the html."""
     tree = site_style_tree(pages, url, html)
     low = tree.filter((F.col("prior") == UNDECIDED) & (F.col("importance") < least))
-    low = low.groupBy("host").agg(F.collect_set("path").alias("_removed"))
+    low = written(low.groupBy("host").agg(F.collect_set("path").alias("_removed")), "removed-nodes")
+    listed = low.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("_removed", "")))).first()[0] or 0
+    low = F.broadcast(low) if listed <= BROADCAST_BYTES else low.hint("merge")
     rows = pages.drop(text).withColumn("_host", _host(F.col(url)))
     joined = rows.join(low.withColumnRenamed("host", "_host"), "_host", "left").drop("_host")
     kept = [f for f in joined.schema.fields if f.name not in (html, "_removed")]
