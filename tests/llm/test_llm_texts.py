@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from helpers import by_id, documents
 
-from vectable.llm import decontaminate, jaccard, langid, repeats, suffix
+from vectable.llm import decontaminate, jaccard, langid, repeats, stages, suffix
 from vectable.llm.components import components
 from vectable.llm.queries import contaminated, op6, op8, op9
 
@@ -192,6 +192,21 @@ def test_join_of_repeated_rows_null_ids_and_empty_tables(spark):
     assert jaccard.jaccard_join(documents(spark, []).limit(0)).count() == 0
 
 
+def test_join_tells_texts_of_one_id_and_of_null_ids_apart(spark):
+    def near(seed):
+        words = prose(120, seed).split()
+        return " ".join(words), " ".join([*words[:-1], "changed"])
+
+    (a, a2), (b, b2), (c, c2) = near(1), near(2), near(3)
+    docs = documents(spark, [(None, a), (None, a2), (7, b), (7, c), (7, c), (9, b2), (3, c2), (7, "..."), (11, None)])
+    got = sorted(((r.doc_id or 0, r.class_id, r.n_links, r.n_copies) for r in jaccard.jaccard_join(docs).collect()), key=str)
+    want = [(0, None, 1, 1)] * 2 + [(7, 7, 1, 1), (7, 3, 1, 2), (7, 3, 1, 2), (9, 7, 1, 1), (3, 3, 1, 1), (7, 7, 0, 1), (11, 11, 0, 1)]
+    assert got == sorted(want, key=str)
+    kept = sorted(((r.doc_id, r.text) for r in stages.near_duplicates(spark, docs, "").collect()), key=str)
+    assert len(kept) == 5 and len({t for i, t in kept if i is None} & {a, a2}) == 1
+    assert sorted((i, t) for i, t in kept if i not in (None, 11)) == sorted([(7, b), (3, c2), (7, "...")])
+
+
 def test_posterior_bound():
     need = jaccard.least_matches(300, 0.8, 1e-9)
     assert need[30] < 0.6 * 30 and 0.55 * 300 < need[300] < 240 and list(need[1:]) == sorted(need[1:])

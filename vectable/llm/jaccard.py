@@ -19,7 +19,8 @@ of each linked part; classes are the connected components.
 Results in odd cases: texts of fewer words than ``GRAM`` are one gram of all
 their words; null texts and texts without words link to nothing and are classes
 of their own, named by their id; repeated rows are copies; a null id is kept and
-names no class while its group has another id.
+names no class while its group has another id. Rows are told apart by a hash of
+id and text (``row_of``), so ids may be null or stand on several texts.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectable.llm.arrow import slices
@@ -98,6 +99,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict(
                 {
                     "id": part.column(0),
+                    "row": part.column(2),
                     "node": pa.array([node_of(s) if len(s) else None for s in sets], pa.int64()),
                     "n": pa.array([len(s) for s in sets], pa.int64()),
                     "signature": pa.array([next(signed).tobytes() if len(s) else None for s in sets], pa.binary()),
@@ -219,7 +221,15 @@ def _gram_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch, 1):
             sets = gram_sets([None if t is None else t.encode() for t in part.column(1).to_pylist()])
-            yield pa.RecordBatch.from_pydict({"node": part.column(0), "grams": pa.array([s.tobytes() for s in sets], pa.binary())})
+            # a text of another node under the same row hash is left out
+            own = [(n, s.tobytes()) for n, s in zip(part.column(0).to_pylist(), sets, strict=True) if len(s) and node_of(s) == n]
+            columns = {"node": pa.array([n for n, _ in own], pa.int64()), "grams": pa.array([g for _, g in own], pa.binary())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+
+def row_of(doc_id: Column, text: Column) -> Column:
+    """A hash by which rows of one id and other texts, and rows without an id, are told apart."""
+    return F.xxhash64(doc_id, text)
 
 
 def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -229,20 +239,26 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     sets) whose similarity to this one reaches the threshold, ``n_copies`` the
     number of rows with the same gram set, this one included.
     """
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    return joined_rows(docs, doc_id, text, similarity).drop("_row", "_heads")
+
+
+def joined_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """``jaccard_join`` with _row (``row_of`` id and text) and _heads: whether the row is the one that its class is kept by.
+
+    That is the row of the smallest id of the class, of these the one of the least hash; repeated rows are alike.
+    """
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), row_of(F.col(doc_id), F.col(text)).alias("row"))
     kind = source.schema["id"].dataType.simpleString()
-    sketch = written(source.mapInArrow(_sketch, f"id {kind}, node bigint, n bigint, signature binary"), "sketch")
+    sketch = written(source.mapInArrow(_sketch, f"id {kind}, row bigint, node bigint, n bigint, signature binary"), "sketch")
     held = sketch.filter("node is not null").groupBy("node")
-    nodes = written(
-        held.agg(F.first("signature").alias("signature"), F.min("id").alias("first_id"), F.count("*").alias("copies")), "nodes"
-    )
+    head = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+    nodes = written(held.agg(F.first("signature").alias("signature"), F.min(head).alias("head"), F.count("*").alias("copies")), "nodes")
     groups = written(_groups(nodes), "groups")
     cells = _cells(groups)
-    asked = groups.select("node").distinct().join(nodes.select("node", "first_id", "signature"), "node")
+    asked = groups.select("node").distinct().join(nodes.select("node", F.col("head.row").alias("row"), "signature"), "node")
     asked = written(asked, "asked")
-    owners = sketch.select("id", "node").join(asked.select("node", F.col("first_id").alias("id")), ["id", "node"]).distinct()
-    texts = source.join(broadcast_checked(owners, BROADCAST_ROWS), "id").select("node", "text")
-    sets = texts.mapInArrow(_gram_rows, "node bigint, grams binary").filter(F.octet_length("grams") > 0)
+    texts = source.join(broadcast_checked(asked.select("node", "row"), BROADCAST_ROWS), "row").select("node", "text")
+    sets = texts.mapInArrow(_gram_rows, "node bigint, grams binary")
     sets = written(sets.dropDuplicates(["node"]), "sets")
     full = cells.join(asked.select("node", "signature").join(sets, "node"), "node")
     found = written(
@@ -250,16 +266,19 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     )
     links = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = nodes.select("node", "first_id", "copies").join(links, "node", "left").join(roots, "node", "left")
+    named = nodes.select("node", "head", "copies").join(links, "node", "left").join(roots, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    named = named.join(classes, "root").select("node", "class_id", "n_links", "copies")
-    out = sketch.select("id", "node").join(named, "node", "left")
+    classes = named.groupBy("root").agg(F.min("head").alias("first"))
+    named = named.join(classes, "root").select("node", "first", "n_links", "copies")
+    out = sketch.select("id", "row", "node").join(named, "node", "left")
+    first = F.col("first.id").eqNullSafe(F.col("id")) & (F.col("first.row") == F.col("row"))
     return out.select(
         F.col("id").alias(doc_id),
-        F.coalesce("class_id", "id").alias("class_id"),
+        F.coalesce("first.id", "id").alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("copies", F.lit(1)).cast("bigint").alias("n_copies"),
+        F.col("row").alias("_row"),
+        (F.col("node").isNull() | first).alias("_heads"),
     )
 
 

@@ -26,13 +26,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class; of repeated rows one stays."""
+    """The document of the smallest id of each class; of repeated rows one stays.
+
+    Documents are known by id and text: of several texts of the smallest id, the one of the least hash stays.
+    """
     ship_package(spark)
-    found = jaccard.jaccard_join(docs)
-    kept = written(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id"), "kept")
-    ids = kept.distinct()
-    held = docs.join(broadcast_checked(ids, KEY_ROWS), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-    if kept.count() > ids.count():  # ids repeat: of rows with one id and one text the first stays
+    kept = written(jaccard.joined_rows(docs).filter("_heads").select("doc_id", "_row"), "kept")
+    rows = kept.distinct()
+    same = docs["doc_id"].eqNullSafe(rows["doc_id"]) & (jaccard.row_of(docs["doc_id"], docs["text"]) == rows["_row"])
+    held = docs.join(broadcast_checked(rows, KEY_ROWS), same, "left_semi")
+    if kept.count() > rows.count():  # rows repeat: of rows with one id and one text the first stays
         return held.dropDuplicates(["doc_id", "text"])
     return held
 
