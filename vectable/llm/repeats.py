@@ -37,11 +37,12 @@ from vectable.llm.arrow import slices
 from vectable.llm.registry import written
 from vectable.llm.suffix import Shard
 from vectable.llm.words import mix, powers, prefix_sums, sliding_min
-from vectable.session import by_key
+from vectable.session import broadcast_checked, by_key
 
 LENGTH = 100  # fixed value
 GRAM = 24
 SHARD_BYTES = 1024 * 1024
+BROADCAST_ROWS = 1_000_000
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64))
 
 
@@ -229,9 +230,20 @@ def _compared(length: int):
     return run
 
 
+def _once(named: DataFrame) -> DataFrame:
+    """``named`` with one row for each (id, tie): only rows that stand more than once are dealt by them."""
+    listed = written(named.groupBy("id", "tie").agg(F.count("*").alias("n")).filter("n > 1").select("id", "tie"), "twice")
+    if listed.isEmpty():
+        return named
+    twice = broadcast_checked(listed, BROADCAST_ROWS)
+    again = named.join(twice, ["id", "tie"], "left_semi").dropDuplicates(["id", "tie"])
+    return named.join(twice, ["id", "tie"], "left_anti").unionByName(written(again.select(named.columns), "once")).select(named.columns)
+
+
 def repeated_ranges(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(id, tie, ranges) of documents (id long, tie, text): starts (low to high) of strings that occurred before."""
     named = docs.select("id", "tie", F.xxhash64("id", "tie").alias("doc"), "text").filter(F.octet_length("text") >= length)
+    named = _once(named)
     keyed = named.select("doc", "text").mapInArrow(_keyed(length), "key bigint, doc bigint, start bigint")
     found = by_key(keyed, "key").mapInArrow(_repeated, "doc bigint, start bigint")
     lists = written(found.groupBy("doc").agg(F.collect_set("start").alias("starts")), "starts")
