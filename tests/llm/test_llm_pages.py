@@ -107,6 +107,20 @@ def test_archives_of_odd_rows(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_address_of_any_length(spark, tmp_path):
+    url = "data:text/html," + "x" * 100_000
+    pages = spark.createDataFrame([(1, url, "<p>one</p>"), (2, "u", "y" * 2000), (3, url, "y" * 2000)], PAGES)
+    for compression in ("none", "gzip"):
+        path = str(tmp_path / compression)
+        warc.write_archives(pages, path, compression=compression)
+        got = {r.record_id: r for r in warc.read_archives(spark, path).collect()}
+        assert len(got) == 3 and all(r.reason is None for r in got.values())
+        assert got["<urn:page:1>"].uri == got["<urn:page:3>"].uri == url
+    cut = b"WARC/1.0\r\nWARC-Type: response\r\nA: " + b"x" * 100_000
+    found = list(warc.salvage(cut + record(b"after")))
+    assert [f.get("gap_bytes") or f["payload"] for f in found] == [len(cut), b"after"]
+
+
 def test_warc_query(spark, sf_dir):
     pages = by_id(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     best = {}

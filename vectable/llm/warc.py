@@ -126,6 +126,7 @@ class Damage(ValueError):
 
 
 _HEAD = re.compile(rb"WARC/\d\.\d+\r?\n")
+_HEAD_END = re.compile(rb"\r\n\r\n|WARC/\d\.\d+\r?\n")  # a header of any length, up to the next version line
 _START = re.compile(rb"\x1f\x8b\x08|WARC/\d\.\d+\r?\n")
 
 
@@ -175,9 +176,10 @@ def _record(content: bytes, at: int) -> tuple[dict, int]:
     head = _HEAD.match(content, at)
     if not head:
         raise Damage("no version line")
-    stop = content.find(END, head.end() - 2, head.end() + 65536)
-    if stop < 0:
+    found = _HEAD_END.search(content, head.end() - 2)
+    if not found or found[0] != END:
         raise Damage("the header block has no end")
+    stop = found.start()
     fields = {}
     for line in content[head.end() : stop].decode("utf-8", "replace").split("\r\n"):
         key, colon, value = line.partition(":")
