@@ -47,6 +47,18 @@ def test_tree_removes_what_all_pages_of_a_host_share(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_copies_of_a_page_count_once(spark):
+    page = "<div class='post'><p>Story</p></div>"
+    rows = [(n, "http://two.example/a", page) for n in range(2)]
+    rows += [(10 + n, f"http://many.example/{n}", f"<div class='top'>Topics</div><div class='post'><p>Copied story</p></div><!-- {n} -->") for n in range(40)]
+    rows += [(60 + n, f"http://many.example/{n}", f"<div class='top'>Topics</div><div class='post'><p>Story {n}</p></div>") for n in range(6)]
+    pages = spark.createDataFrame(rows, PAGES).repartition(5)
+    text = {r.page_id: r.text for r in html.extract(pages).collect()}
+    assert text[0] == text[1] == "Story"
+    assert {text[10 + n] for n in range(40)} == {"Copied story"} and [text[60 + n] for n in range(6)] == [f"Story {n}" for n in range(6)]
+    assert {r.pages for r in html.site_style_tree(pages).filter("path = '#>div.post>p'").collect()} == {1, 7}
+
+
 def test_html_query(spark, sf_dir):
     pages = by_id(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     for r in op1(spark, sf_dir).collect():

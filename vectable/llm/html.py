@@ -13,23 +13,25 @@ elements and classes that name page furniture weigh 0, and inside ``article``
 or ``main`` the rest weighs 1; a page that has an ``article`` or ``main`` holds
 its main text there. All other nodes are left to the tree.
 
-The tree is built by aggregations per (host, node, feature), combined in each
-task first, so a host with most of the pages is no hot group. Pages meet the
+Pages of a host whose blocks (without furniture by name) are equal count once:
+copies say nothing about furniture. The tree is built by aggregations per (host,
+page), then per (host, node, feature), combined in each task first, so neither a
+page of many copies nor a host with most of the pages is a hot group. Pages meet the
 few removed nodes of their host in a join, broadcast while their bytes (counted) are few,
 beyond it by host with skewed hosts split, then are parsed once more.
 
 Results in odd cases: null or empty html gives the empty text; a null or odd
 address belongs to the host ""; broken markup (open tags, stray ends, cut
 files) is read as far as it goes; repeated pages each get a row; a host with
-one page has all weights 1.
+one different page has all weights 1.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -42,6 +44,7 @@ from vectable.llm.words import text_hash
 
 GAMMA = 0.9
 LEAST = 0.3
+FEATURES = "array<struct<path: string, prior: int, kind: string, feature: bigint>>"
 BROADCAST_BYTES = 16 * 1024 * 1024
 
 # Element kinds of HTML.
@@ -178,10 +181,15 @@ def main_text(html: str | None, removed: frozenset | set = frozenset()) -> str:
 
 
 def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(host, path, prior, pages, presentation, content, importance) of every node of every host's merged tree."""
+    """(host, path, prior, pages, presentation, content, importance) of every node of every host's merged tree.
+
+    ``pages`` counts different pages.
+    """
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html"))
-    features = rows.mapInArrow(_features, "host string, path string, prior int, kind string, feature bigint, n bigint")
-    counted = features.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"), F.max("prior").alias("prior"))
+    features = rows.mapInArrow(_features, f"host string, page bigint, features {FEATURES}")
+    distinct = features.groupBy("host", "page").agg(F.min("features").alias("features"))
+    features = distinct.select("host", F.inline("features"))
+    counted = features.groupBy("host", "path", "kind", "feature").agg(F.count("*").alias("n"), F.max("prior").alias("prior"))
     style, n = F.col("kind") == "style", F.col("n").cast("double")
     nodes = counted.groupBy("host", "path").agg(
         F.max("prior").alias("prior"),
@@ -203,23 +211,28 @@ def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> D
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, features) of each different page of a slice; ``page`` is a hash of the blocks that are no furniture by name."""
+    kinds = {"path": pa.string(), "prior": pa.int32(), "kind": pa.string(), "feature": pa.int64()}
     for batch in batches:
         for part in slices(batch, 1):
-            count: Counter = Counter()
+            held: dict[tuple[str, int], list[tuple]] = {}
             for url, html in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                host = host_of(url)
                 found, seen = blocks(html or "")
                 prior = {path: p for path, p, _ in found}
+                mine = []
                 for path, sequences in seen.items():
                     shown = "|".join(sorted({" ".join(dict.fromkeys(s)) for s in sequences}))
-                    count[host, path, prior.get(path, 0), "style", text_hash(shown)] += 1
-                for path, p, text in set(found):
-                    count[host, path, p, "text", text_hash(text)] += 1
-            rows = [[*key, n] for key, n in count.items()]
-            names = ["host", "path", "prior", "kind", "feature", "n"]
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
-            columns = list(zip(*rows, strict=True)) or [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                    mine.append((path, prior.get(path, 0), "style", text_hash(shown)))
+                mine += [(path, p, "text", text_hash(text)) for path, p, text in set(found)]
+                mine.sort()
+                page = text_hash("\0".join(f"{path}\1{text}" for path, p, text in found if p != FURNITURE))
+                key = host_of(url), page
+                held[key] = min(held.get(key, mine), mine)
+            columns = list(zip(*(f for mine in held.values() for f in mine), strict=True)) or [()] * 4
+            items = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values(), strict=True)], list(kinds))
+            offsets = pa.array(list(accumulate((len(mine) for mine in held.values()), initial=0)), pa.int32())
+            hosts, pages = pa.array([h for h, _ in held], pa.string()), pa.array([p for _, p in held], pa.int64())
+            yield pa.RecordBatch.from_arrays([hosts, pages, pa.ListArray.from_arrays(offsets, items)], ["host", "page", "features"])
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, text: str = "text") -> DataFrame:
