@@ -47,6 +47,17 @@ def test_tree_removes_what_all_pages_of_a_host_share(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_tree_judges_nodes_inside_an_article(spark):
+    page = "<article><h1>Title {0}</h1><p>Story {0}</p><div class='box'>Get our letter</div></article><p>Outside {0}</p>"
+    rows = [(n, f"http://large.example/{n}", page.format(n)) for n in range(12)]
+    rows += [(20 + n, f"http://small.example/{n}", page.format(n)) for n in range(3)]
+    rows += [(40, "http://large.example/x", "<article><div class='box'>Get our letter</div></article><p>Only here</p>")]
+    text = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, PAGES)).collect()}
+    assert [text[n] for n in range(12)] == [f"Title {n}\nStory {n}" for n in range(12)]
+    assert [text[20 + n] for n in range(3)] == [f"Title {n}\nStory {n}\nGet our letter" for n in range(3)]
+    assert text[40] == "Only here"
+
+
 def test_copies_of_a_page_count_once(spark):
     page = "<div class='post'><p>Story</p></div>"
     rows = [(n, "http://two.example/a", page) for n in range(2)]

@@ -9,9 +9,11 @@ child sequences both are combined as (1 - GAMMA^l) * presentation + GAMMA^l *
 content. Blocks whose node weighs less than ``LEAST`` are removed.
 
 Entropy says nothing on hosts with few pages, so nodes carry a prior by name:
-elements and classes that name page furniture weigh 0, and inside ``article``
-or ``main`` the rest weighs 1; a page that has an ``article`` or ``main`` holds
-its main text there. All other nodes are left to the tree.
+elements and classes that name page furniture weigh 0, and a page that has an
+``article`` or ``main`` holds its main text there. Nodes in there weigh 1 while
+fewer than ``SEVERAL`` different pages of the host have them; from there on, and
+everywhere else, the tree decides. A page that the tree leaves nothing of its
+``article`` or ``main`` is read as one without.
 
 Pages of a host whose blocks (without furniture by name) are equal count once:
 copies say nothing about furniture. The tree is built by aggregations per (host,
@@ -44,6 +46,7 @@ from vectable.llm.words import text_hash
 
 GAMMA = 0.9
 LEAST = 0.3
+SEVERAL = 5  # different pages from which the tree judges nodes inside article and main
 FEATURES = "array<struct<path: string, prior: int, kind: string, feature: bigint>>"
 BROADCAST_BYTES = 16 * 1024 * 1024
 
@@ -174,7 +177,7 @@ def blocks(html: str) -> tuple[list[tuple[str, int, str]], dict[str, list]]:
 def main_text(html: str | None, removed: frozenset | set = frozenset()) -> str:
     """Blocks that stay, one a line; ``removed`` are the host's low nodes."""
     found, _ = blocks(html or "")
-    inside = [text for _, prior, text in found if prior == MAINLY]
+    inside = [text for path, prior, text in found if prior == MAINLY and path not in removed]
     if inside:
         return "\n".join(inside)
     return "\n".join(text for path, prior, text in found if prior == UNDECIDED and path not in removed)
@@ -238,7 +241,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, url: str = "url", html: str = "html", least: float = LEAST, text: str = "text") -> DataFrame:
     """``pages`` with their main text instead of the html."""
     tree = site_style_tree(pages, url, html)
-    low = tree.filter((F.col("prior") == UNDECIDED) & (F.col("importance") < least))
+    judged = (F.col("prior") == UNDECIDED) | (F.col("prior") == MAINLY) & (F.col("pages") >= SEVERAL)
+    low = tree.filter(judged & (F.col("importance") < least))
     low = written(low.groupBy("host").agg(F.collect_set("path").alias("_removed")), "removed-nodes")
     listed = low.agg(F.sum(F.octet_length("host") + F.octet_length(F.array_join("_removed", "")))).first()[0] or 0
     low = F.broadcast(low) if listed <= BROADCAST_BYTES else low.hint("merge")
