@@ -259,6 +259,31 @@ def test_language_odd_rows(spark):
     assert none is None and langid.predict(docs, none).first().lang_pred == "und"
 
 
+def noise(n, seed):
+    draw = random.Random(seed)
+    return " ".join("".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=draw.randint(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("junk", [0, 0.5])
+def test_language_rejects_gibberish_and_an_unseen_language(spark, junk):
+    """Also when a third of the labelled rows is gibberish under the labels in turn."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text", "lang").orderBy("doc_id").collect()
+    docs = [r for r in docs if r.text and r.lang and sum(c.isalpha() for c in r.text) > 40]
+    known = [(r.text[:2000], r.lang) for r in docs if r.lang != "de"]
+    learned = [r for n, r in enumerate(known) if n % 4]
+    learned += [(noise(60, n), ("en", "es", "fr")[n % 3]) for n in range(int(junk * len(learned)))]
+    model = langid.train(learned)
+    asked = [("clean", t) for n, (t, _) in enumerate(known) if not n % 4]
+    asked += [("noise", noise(60, 10_000 + n)) for n in range(40)] + [("unseen", r.text) for r in docs if r.lang == "de"]
+    asked += [("unseen", "Это другой язык, которого никто не учил. " * (n % 3 + 1)) for n in range(9)]
+    frame = spark.createDataFrame(asked, "kind string, text string")
+    rejected = defaultdict(list)
+    for r in langid.predict(frame, model).collect():
+        rejected[r.kind].append(r.rejected)
+    share = {kind: sum(v) / len(v) for kind, v in rejected.items()}
+    assert share["clean"] <= 0.05 and share["noise"] >= 0.9 and share["unseen"] >= 0.8, share
+
+
 def test_language_learns_nothing_from_held_out_rows(spark):
     import zlib
 

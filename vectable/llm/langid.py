@@ -6,16 +6,20 @@ table. A text is the mean of its rows, a linear layer and a softmax give the
 classes. Embeddings and layer are trained by stochastic gradient descent in
 numpy on a bounded sample of labelled rows (``SAMPLE_ROWS`` per label,
 ``SAMPLE_TOTAL`` in all, of at most ``SAMPLE_BYTES`` each, by a hash of the id). A temperature is
-fitted on a part of the sample that takes no steps, and the rejection
-threshold is the highest score of that part below which nearly all answers are
-wrong (``SPARED``), for no more than ``FLOOR`` of the rows.
+fitted on a part of the sample that takes no steps. With a level ``MARGIN`` of the
+way from chance (one in the number of labels) to certainty, the rejection threshold is the
+highest score at which the accuracy of that part, made monotone in the score, is
+below the level; and at least the level itself, as scores are calibrated, as far as
+that takes no more than ``SPARED`` of the right answers, less those that guesses get right. No share of rows bounds it;
+fewer than ``EVIDENCE`` held-back rows set none.
 
 Prediction reads whole texts. Since the layer is linear, tasks get the product
 of table and layer: one short row of class scores per bucket, of fixed size.
 
 Results in odd cases: null texts, and texts without a letter, are ``und`` with
 score 0 and rejected; equal scores go to the smaller label; with no labelled row
-every text is ``und``; labels that are null are not learned.
+every text is ``und``; with one label no score tells texts apart and only texts
+without letters go; labels that are null are not learned.
 """
 
 from __future__ import annotations
@@ -41,10 +45,9 @@ BUCKETS = 1 << BUCKET_BITS
 DIM = 16
 EPOCHS = 6
 RATE = 0.5
-#: Scores are rejected only as far as at most this share of the held-back answers below is right.
-SPARED = 0.2
-FLOOR = 0.02  # share of held-back rows that may fall below the rejection threshold
-EVIDENCE = 5  # wrong answers that a threshold needs below it
+MARGIN = 0.5  # of the way from chance to certainty: answers less sure than that are rejected
+EVIDENCE = 20  # held-back rows without which nothing is known of the scores and no threshold is set
+SPARED = 0.005  # share of the right held-back answers that the level alone may reject
 UNKNOWN = "und"
 _ORDERS = (2, 3, 4)
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -170,15 +173,33 @@ def calibrated(model: Model, texts: list[bytes], target: np.ndarray) -> Model:
     model.temperature = float(min(np.geomspace(0.02, 5, 60), key=loss))
     p = softmax(z / model.temperature)
     score, right = p.max(axis=1), p.argmax(axis=1) == target
-    order = np.argsort(score)
-    wrong = np.cumsum(~right[order])
-    below = np.arange(1, len(order) + 1)
-    worth = np.flatnonzero((wrong >= np.maximum(EVIDENCE, below * (1 - SPARED))) & (below <= max(1, FLOOR * len(order))))
-    if len(worth):
-        model.threshold = float(np.nextafter(score[order[worth[-1]]], 1))
+    if len(target) < EVIDENCE:
+        return model
+    level = 1 / len(model.labels) + MARGIN * (1 - 1 / len(model.labels))
+    order = np.argsort(score, kind="stable")
+    below = int((score < level).sum())
+    # of guesses one in the number of labels is right: these are no loss
+    lost = np.cumsum(np.where(right[order], 1.0, -1.0 / max(1, len(model.labels) - 1)))[:below]
+    spared = int(np.max(np.flatnonzero(lost <= SPARED * right.sum()) + 1, initial=0))
+    model.threshold = level if spared == below else float(score[order[spared]])
+    poor = np.flatnonzero(monotone(right[order]) < level)
+    if len(poor):
+        model.threshold = max(model.threshold, float(np.nextafter(score[order[poor[-1]]], 1)))
     return model
 
 
+def monotone(right: np.ndarray) -> np.ndarray:
+    """The non-decreasing values nearest to ``right``: neighbouring blocks are pooled while the first has the higher mean."""
+    blocks: list[list[float]] = []
+    for x in right.astype(float):
+        blocks.append([x, 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            total, n = blocks.pop()
+            blocks[-1][0] += total
+            blocks[-1][1] += n
+    return np.repeat([total / n for total, n in blocks], [int(n) for _, n in blocks])
+
+
 def has_letter(text: Column) -> Column:
     return text.isNotNull() & text.rlike(r"\p{L}")
 
