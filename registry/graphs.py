@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from registry.common import SCALED, VECTORS, as_queries, query, ranked_sql, scaled, vectors
@@ -51,13 +52,24 @@ _ALL = """select a.id as query_id, b.id, round(list_distance(a.v, b.v), 6) as sc
   from vectors a, vectors b where a.id < 20"""
 
 
+def id_ring(base):
+    """(src, dst): each id and the next one, the last and the first; sorted by ranges, so gaps do no harm."""
+    parts = session.cut(base.select("id").repartitionByRange("id").withColumn("part", F.spark_partition_id()))
+    firsts = parts.groupBy("part").agg(F.min("id").alias("first"))  # one row a range
+    follows = firsts.select("part", F.lead("first").over(Window.orderBy("part")).alias("follows"))
+    near = F.lead("id").over(Window.partitionBy("part").orderBy("id"))
+    least = base.agg(F.min("id").alias("least"))
+    joined = parts.withColumn("near", near).join(follows, "part").crossJoin(F.broadcast(least))
+    return joined.select(F.col("id").alias("src"), F.coalesce("near", "follows", "least").alias("dst"))
+
+
 @query("graph_search", f"with {VECTORS} {ranked_sql(_ALL, K)}")
 def graph_search(spark, sf_dir):
     """Beams as wide as the table along a graph whose ring reaches every row: the result is exact."""
     base = vectors(spark, sf_dir).select("id", "vector")
     rows = base.count()
     step = F.lit(0.0).alias("score"), F.lit(1).alias("rank")
-    ring = base.select(F.col("id").alias("src"), ((F.col("id") + 1) % rows).alias("dst"), *step)
+    ring = id_ring(base).select("src", "dst", *step)
     near = graph.nn_descent(base, M, pool=M, iterations=1, fan=8)
     edges = session.cut(near.unionByName(ring).select("src", "dst", "score", "rank"))
     return graph.graph_search(edges, base, as_queries(base.filter("id < 20")), K, ef=rows, width=rows)

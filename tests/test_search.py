@@ -134,3 +134,15 @@ def test_graph_of_copies(spark):
     for edges in (graph.knn_graph(base, 4), graph.nn_descent(base, 4, pool=12)):
         got = edges.groupBy("src").agg(F.count("*").alias("n"), F.count_if(F.col("src") == F.col("dst")).alias("own"))
         assert rows(got.select("n", "own").distinct()) == [(4, 0)]
+
+
+def test_ring_of_ids_with_gaps_reaches_every_row(spark):
+    from registry.graphs import id_ring
+
+    ids = [3, 4, 9, 40, 41, 1000, -7, *range(2000, 2100, 3)]
+    ring = {r.src: r.dst for r in id_ring(spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)).collect()}
+    at, seen = 3, set()
+    while at not in seen:
+        seen.add(at)
+        at = ring[at]
+    assert seen == set(ids)
