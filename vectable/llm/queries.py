@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, edits, html, jaccard, langid, middle, repeats, sharding, topk, warc
+from vectable.llm import bpe, decontaminate, edits, html, jaccard, langid, middle, orchard, repeats, sharding, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
+from vectable.session import broadcast_checked
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -234,3 +235,60 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2("restored", 256).alias("restored_sha256"),
     )
+
+
+def op11_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """The rounds of training as one chain of tables; vectors of 64 components as in ``embeddings``."""
+    width = 64 // parts
+    steps = [
+        f"""point as materialized (
+  select vec_id, label, p, list_transform(range(1, {width + 1}), lambda j: floor(4096 * embedding[p * {width} + j]::double)::bigint) as x
+  from embeddings, unnest(range({parts})) as t(p)
+  where embedding is not null and len(list_filter(embedding, lambda v: v is null or isnan(v) or isinf(v))) = 0)""",
+        f"""book0 as materialized (
+  select p, (row_number() over (partition by p order by vec_id) - 1)::int as e, x
+  from point where vec_id in (select distinct vec_id from point order by vec_id limit {entries}))""",
+    ]
+    for n in range(rounds + 1):
+        steps.append(
+            f"""near{n} as materialized (
+  select vec_id, label, p, x, min(struct_pack(d := d, e := e)) as best from (
+    select q.vec_id, q.label, q.p, q.x, b.e,
+           list_sum(list_transform(range(1, {width + 1}), lambda j: (q.x[j] - b.x[j]) * (q.x[j] - b.x[j])))::bigint as d
+    from point q join book{n} b on q.p = b.p)
+  group by all)"""
+        )
+        if n < rounds:
+            floored = "((s - ((s % n) + n) % n) // n)::bigint"
+            steps.append(
+                f"""book{n + 1} as materialized (
+  select b.p, b.e, coalesce(m.x, b.x) as x from book{n} b left join (
+    select p, e, list({floored} order by j) as x from (
+      select p, best.e as e, j, sum(x[j]) as s, count(*) as n from near{n}, unnest(range(1, {width + 1})) as t(j) group by all)
+    group by p, e) m on b.p = m.p and b.e = m.e)"""
+            )
+    steps.append(
+        f"""coded as (
+  select vec_id, label, string_agg(format('{{:02x}}', best.e), '' order by p) as code, sum(best.d)::bigint as error
+  from near{rounds} group by vec_id, label)"""
+    )
+    return (
+        "with " + ",\n".join(steps) + f"""
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error,
+       (select sha256(string_agg(array_to_string(x, ','), ',' order by p, e)) from book{rounds}) as codebooks_sha256
+from coded"""
+    )
+
+
+@query("op11_orchard_codes", op11_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors under codebooks trained on all of them, with their errors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    books = orchard.train(vectors)
+    coded = written(orchard.encode(vectors, books).drop("embedding"), "codes")
+    exact = F.sum(F.col("error").cast("decimal(38,0)"))
+    totals = coded.groupBy("label").agg(F.least(exact, F.lit(2**63 - 1)).cast("bigint").alias("label_error"))
+    totals = broadcast_checked(totals.withColumnRenamed("label", "_label"), 1_000_000)
+    joined = coded.join(totals, coded["label"].eqNullSafe(F.col("_label")))
+    digest = orchard.Codebooks([], 0, 0).sha256() if books is None else books.sha256()
+    return joined.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
