@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vectable.llm import bpe, decontaminate, edits, html, jaccard, langid, middle, orchard, repeats, sharding, topk, warc
+from vectable.llm import bpe, decontaminate, edits, html, jaccard, langid, middle, orchard, repeats, seating, sharding, topk, warc
 from vectable.llm.registry import ORACLES, QUERIES, folder, query, table, written
 from vectable.session import broadcast_checked
 
@@ -292,3 +292,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = coded.join(totals, coded["label"].eqNullSafe(F.col("_label")))
     digest = orchard.Codebooks([], 0, 0).sha256() if books is None else books.sha256()
     return joined.select("vec_id", "code", "error", "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+@query("op12_pitman_yor_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every text under the model of the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return seating.score(docs, seating.train(docs))
