@@ -205,9 +205,9 @@ def assign_lists(spark, sf_dir):
     return rows.select("id", "list_id")
 
 
-def _lists(spark, sf_dir):
+def _lists(spark, sf_dir, metric="L2"):
     centroids = label_means(spark, sf_dir)
-    return ivf.assign_lists(vectors(spark, sf_dir).select("id", "vector"), centroids), centroids
+    return ivf.assign_lists(vectors(spark, sf_dir).select("id", "vector"), centroids, metric), centroids
 
 
 def _asked(spark, sf_dir):
@@ -297,6 +297,40 @@ def ivf_pq_search(spark, sf_dir):
     return ivf.ivf_pq_search(coded, codebooks, centroids, _asked(spark, sf_dir), K, NPROBE)
 
 
+_CODED_SCORE = {"COSINE": "list_cosine_similarity", "IP": "list_dot_product"}
+
+
+def _register_coded(metric):
+    """The coded list searches by another metric: lists are probed and rows scored by it."""
+    score = _CODED_SCORE[metric]
+    near = f"""asked as (select v.id, v.v, c.list_id, row_number() over (
+      partition by v.id order by round({score}(v.v, c.c), 6) desc, c.list_id) as place from vectors v, centroids c)"""
+
+    def sql(relation):
+        pairs = f"""select p.id as query_id, b.id, round({score}(p.v, b.y), 6) as score
+          from asked p join {relation} b on b.list_id = p.list_id where p.place <= {NPROBE}"""
+        return ranked_sql(pairs, K, False)
+
+    own = "lists as (select v.id, v.v, a.list_id from vectors v join asked a on a.id = v.id and a.place = 1)"
+    base_sql = f"with {VECTORS}, {CENTROIDS}, {near}, {own}"
+
+    @query(f"ivf_sq8_search_{metric.lower()}", f"{base_sql}, {_SQ8} {sql('coded')}")
+    def sq8(spark, sf_dir):
+        lists, centroids = _lists(spark, sf_dir, metric)
+        bounds = ivf.sq8_bounds(lists)
+        return ivf.ivf_sq8_search(ivf.sq8_encode(lists, bounds), bounds, centroids, _asked(spark, sf_dir), K, NPROBE, metric)
+
+    @query(f"ivf_pq_search_{metric.lower()}", f"{base_sql}, {_PQ} {sql('pq_coded')}")
+    def pq(spark, sf_dir):
+        lists, centroids = _lists(spark, sf_dir, metric)
+        codebooks = _codebooks(centroids)
+        return ivf.ivf_pq_search(ivf.pq_encode(lists, codebooks), codebooks, centroids, _asked(spark, sf_dir), K, NPROBE, metric)
+
+
+for _metric in _CODED_SCORE:
+    _register_coded(_metric)
+
+
 _RERANKED = f"""select r.query_id, r.id, round(list_distance(q.v, b.v), 6) as score
   from ({ranked_sql(_probe_sql('pq_coded', 'y'), K * REFINE)}) r
   join vectors q on q.id = r.query_id join vectors b on b.id = r.id"""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.common import query, ranked_sql, table
+from registry.common import query, ranked_sql, table, workspace
 from vectable.functions.text import shingles
-from vectable.operators import neardup, sparse, textsearch
+from vectable.operators import neardup, sparse, textindex, textsearch
 from vectable.session import cut, spread
 
 K = 10
@@ -200,24 +200,25 @@ _MATCHED = """select s.query_id, p.id, count(distinct p.term)::int as matched
   from spots s join (select distinct id, term from places) p on p.term = s.term group by 1, 2"""
 
 
-@query(
-    "text_match_any",
-    f"""with {_PLACES} select query_id, id, matched, rank::int as rank from (
+_ANY_SQL = f"""with {_PLACES} select query_id, id, matched, rank::int as rank from (
       select *, row_number() over (partition by query_id order by matched desc, id) as rank from ({_MATCHED}))
-    where rank <= 20""",
-)
+    where rank <= 20"""
+_ALL_SQL = f"""with {_PLACES} select m.query_id, id, matched from ({_MATCHED}) m
+    join (select query_id, count(distinct term) as needed from spots group by 1) q using (query_id)
+    where matched = needed"""
+_PHRASE_SQL = f"""with {_PLACES} select s.query_id, p.id, (p.pos - s.pos)::int as start
+    from spots s join places p on p.term = s.term group by s.query_id, p.id, p.pos - s.pos, s.n
+    having count(*) = s.n"""
+
+
+@query("text_match_any", _ANY_SQL)
 def text_match_any(spark, sf_dir):
     return textsearch.text_match(
         table(spark, sf_dir, "documents"), "text", _benchmark(spark, sf_dir), "any", 20, "doc_id"
     )
 
 
-@query(
-    "text_match_all",
-    f"""with {_PLACES} select m.query_id, id, matched from ({_MATCHED}) m
-    join (select query_id, count(distinct term) as needed from spots group by 1) q using (query_id)
-    where matched = needed""",
-)
+@query("text_match_all", _ALL_SQL)
 def text_match_all(spark, sf_dir):
     return textsearch.text_match(
         table(spark, sf_dir, "documents"), "text", _benchmark(spark, sf_dir), "all", None, "doc_id"
@@ -240,13 +241,42 @@ def text_match_names(spark, sf_dir):
     return textsearch.text_match(part, "p_name", names, "all", None, "p_partkey")
 
 
-@query(
-    "phrase_match",
-    f"""with {_PLACES} select s.query_id, p.id, (p.pos - s.pos)::int as start
-    from spots s join places p on p.term = s.term group by s.query_id, p.id, p.pos - s.pos, s.n
-    having count(*) = s.n""",
-)
+@query("phrase_match", _PHRASE_SQL)
 def phrase_match(spark, sf_dir):
     return textsearch.phrase_match(
         table(spark, sf_dir, "documents"), "text", _benchmark(spark, sf_dir), "doc_id"
     )
+
+
+# -- stored index ------------------------------------------------------------
+
+
+def _index(spark, sf_dir):
+    """The documents' index, written and opened again."""
+    path = workspace(spark, "text-index")
+    textindex.write_index(table(spark, sf_dir, "documents"), "text", path, "doc_id")
+    return textindex.read_index(spark, path)
+
+
+@query(
+    "text_index_terms",
+    f"with {_PLACES} select term as token, count(distinct id) as rows from places group by 1",
+)
+def text_index_terms(spark, sf_dir):
+    """The stored number of rows of every term."""
+    return _index(spark, sf_dir).terms.select("token", "rows")
+
+
+@query("text_match_any_stored", _ANY_SQL)
+def text_match_any_stored(spark, sf_dir):
+    return textindex.stored_text_match(_index(spark, sf_dir), _benchmark(spark, sf_dir), "any", 20)
+
+
+@query("text_match_all_stored", _ALL_SQL)
+def text_match_all_stored(spark, sf_dir):
+    return textindex.stored_text_match(_index(spark, sf_dir), _benchmark(spark, sf_dir), "all")
+
+
+@query("phrase_match_stored", _PHRASE_SQL)
+def phrase_match_stored(spark, sf_dir):
+    return textindex.stored_phrase_match(_index(spark, sf_dir), _benchmark(spark, sf_dir))

@@ -158,6 +158,83 @@ def nearest(queries: np.ndarray, base: np.ndarray, k: int, metric: str = "L2") -
     return out
 
 
+def nearest_one(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Row number of the nearest of ``words`` by rounded L2 distance, ties to the smaller; -1 for rows that are not finite."""
+    out = np.full(len(rows), -1)
+    good = np.flatnonzero(np.isfinite(rows).all(axis=1)) if rows.size or len(rows) else np.empty(0, int)
+    own = np.sqrt((words * words).sum(1))
+    step = max(1, _CELLS // max(1, len(words)))
+    for at in range(0, len(good), step):
+        block = rows[good[at : at + step]]
+        size = (block * block).sum(1)
+        gaps = np.sqrt(np.maximum(size[:, None] + (own * own)[None, :] - 2 * (block @ words.T), 0.0))
+        scale = 1 + np.maximum(np.sqrt(size), own.max())
+        near = gaps <= gaps.min(axis=1)[:, None] + 2e-6 * scale[:, None]
+        won = near.argmax(axis=1)
+        doubt = np.flatnonzero(near.sum(axis=1) > 1)
+        if len(doubt):  # the matrix form loses digits: these are told apart by differences
+            i, j = np.nonzero(near[doubt])
+            gap = block[doubt[i]] - words[j]
+            exact = np.full((len(doubt), len(words)), np.inf)
+            exact[i, j] = np.round(np.sqrt(np.einsum("ij,ij->i", gap, gap)), DIGITS)
+            won[doubt] = exact.argmin(axis=1)
+        out[good[at : at + step]] = won
+    return out
+
+
+class TableBest(Best):
+    """``Best`` over code bytes: a row's score is looked up, not computed.
+
+    For each query and sub-vector a table says what every codeword adds to the
+    score; a row adds up one entry per code byte. The tables of two neighbouring sub-vectors are
+    added up front where a block of rows is longer than their entries.
+    """
+
+    def __init__(self, queries: np.ndarray, k: int, metric: str, words: np.ndarray):
+        super().__init__(queries, k, metric)
+        if metric not in ("L2", "IP", "COSINE"):
+            raise ValueError(f"codes have no {metric} scores")
+        split = queries.reshape(len(queries), len(words), -1) if queries.size else np.empty((0, *words.shape[::2]))
+        dots = np.einsum("qsw,scw->scq", split, words)
+        self.sizes = (words * words).sum(axis=2)  # sub, code
+        if metric == "L2":
+            self.tables = (split * split).sum(axis=2).T[:, None, :] + self.sizes[:, :, None] - 2 * dots
+            # sums of squares lose digits near zero: small entries are taken from differences
+            for s, c, q in np.argwhere(self.tables < 1e-6 * (1 + self.sizes[:, :, None])):
+                gap = split[q, s] - words[s, c]
+                self.tables[s, c, q] = gap @ gap
+        else:
+            self.tables = -dots
+        if metric == "COSINE":
+            norms = np.sqrt((queries * queries).sum(1))
+            self.tables = np.divide(self.tables, norms, out=np.full_like(self.tables, np.inf), where=norms > 0)
+
+    def _offer_block(self, ids, base, members):
+        tables = self.tables[:, :, members]
+        at = [base[:, s] for s in range(len(tables))]
+        codes = tables.shape[1]
+        if len(base) >= 2 * codes * codes and len(tables) % 2 == 0:
+            tables = (tables[0::2, :, None, :] + tables[1::2, None, :, :]).reshape(len(tables) // 2, codes * codes, -1)
+            at = [a.astype(np.int64) * codes + b for a, b in zip(at[0::2], at[1::2], strict=True)]
+        total = tables[0][at[0]]
+        for table, place in zip(tables[1:], at[1:], strict=True):
+            total += table[place]
+        if self.metric == "L2":
+            total = np.sqrt(np.maximum(total, 0.0))
+        elif self.metric == "COSINE":
+            size = np.sqrt(sum(own[base[:, s]] for s, own in enumerate(self.sizes)))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                total = np.where(size[:, None] > 0, total / size[:, None], np.inf)
+        scores = np.round(total.T, DIGITS) + 0.0
+        scores[~np.isfinite(scores)] = np.inf
+        limit = self.worst[members]
+        if scores.shape[1] >= self.k:
+            limit = np.minimum(limit, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
+        qi, bi = np.nonzero((scores <= limit[:, None]) & np.isfinite(scores))
+        if len(qi):
+            self._pending.append((members[qi], scores[qi, bi], ids[bi]))
+
+
 def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     """Scores of row i of a against row i of b; NaN where undefined."""
     if metric == "L2":

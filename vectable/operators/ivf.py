@@ -7,6 +7,7 @@ rows, checked before they are read to the driver.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -84,7 +85,8 @@ def assign_lists(base: DataFrame, centroids: DataFrame, metric: str = "L2") -> D
 
     @F.arrow_udf("int")
     def nearest_list(vector: pa.Array) -> pa.Array:
-        near = topk.nearest(topk.vectors(vector), matrix, 1, metric)[:, 0]
+        rows = topk.vectors(vector)
+        near = topk.nearest_one(rows, matrix) if metric == "L2" else topk.nearest(rows, matrix, 1, metric)[:, 0]
         return pa.array(list_ids[near], pa.int32(), mask=near < 0)
 
     rows = session.spread(_fitting(base, matrix.shape[1]))
@@ -234,8 +236,11 @@ def _lloyd(rows: DataFrame, words: np.ndarray, iterations: int) -> np.ndarray:
                 split = _finite(topk.vectors(batch.column(0)))
                 split = split.reshape(len(split), m, -1)
                 for s in range(m):
-                    won = topk.nearest(split[:, s], now[s], 1)[:, 0]
-                    np.add.at(total[s], won, split[:, s])
+                    won = topk.nearest_one(split[:, s], now[s])
+                    order = np.argsort(won, kind="stable")
+                    used, first = np.unique(won[order], return_index=True)
+                    if len(used):
+                        total[s][used] += np.add.reduceat(split[order, s], first)
                     n[s] += np.bincount(won, minlength=now.shape[1])
             at = np.argwhere(n > 0)
             if len(at):
@@ -295,7 +300,7 @@ def pq_encode(base: DataFrame, codebooks: DataFrame) -> DataFrame:
     @F.arrow_udf("binary")
     def encoded(vector: pa.Array) -> pa.Array:
         split = topk.vectors(vector).reshape(len(vector), m, -1)
-        won = np.stack([topk.nearest(split[:, s], words[s], 1)[:, 0] for s in range(m)], axis=1)
+        won = np.stack([topk.nearest_one(split[:, s], words[s]) for s in range(m)], axis=1)
         return _codes(won.astype(np.uint8), (won >= 0).all(axis=1))
 
     rows = session.spread(_fitting(base, m * words.shape[2]))
@@ -306,14 +311,12 @@ def ivf_pq_search(
     lists: DataFrame, codebooks: DataFrame, centroids: DataFrame, queries: DataFrame, k: int,
     nprobe: int, metric: str = "L2", **options,
 ) -> DataFrame:
-    """Search the probed lists by product codes; the query side stays unquantized."""
-    words = _codebook_arrays(codebooks)
-    subs = np.arange(words.shape[0])
-
-    def decode(column: pa.Array) -> np.ndarray:
-        return words[subs, _code_bytes(column)].reshape(len(column), -1)
+    """Search the probed lists by product codes (L2, COSINE, IP); the query side stays unquantized.
 
-    return _probe(lists, centroids, queries, k, nprobe, metric, "code", decode, **options)
+    Vectors are not rebuilt: each code byte is looked up in a table of its query.
+    """
+    kind = partial(topk.TableBest, words=_codebook_arrays(codebooks))
+    return _probe(lists, centroids, queries, k, nprobe, metric, "code", _code_bytes, kind=kind, **options)
 
 
 def rerank_search(

@@ -56,7 +56,7 @@ def _emit(best: topk.Best, query_ids: pa.Array, id_type: pa.DataType) -> pa.Reco
     )
 
 
-def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool) -> DataFrame:
+def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool, kind) -> DataFrame:
     """Base streamed past a query block that every task holds."""
     query_ids = block.column("query_id").combine_chunks()
     matrix = topk.vectors(block.column("vector"), metric in ("HAMMING", "JACCARD"))
@@ -71,7 +71,7 @@ def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool)
             base = base.filter(F.col("key").isin(list(members)))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best, id_type = topk.Best(matrix, k, metric), None
+        best, id_type = kind(matrix, k, metric), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -98,7 +98,7 @@ def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool)
     return base.select(*columns).coalesce(tasks).mapInArrow(scan, schema)
 
 
-def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool) -> DataFrame:
+def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool, kind) -> DataFrame:
     """Base and queries met in bounded cells (key, base part, query part)."""
     bits = metric in ("HAMMING", "JACCARD")
     base_rows = max(1, BASE_CELL_BYTES // (8 * dim))
@@ -141,7 +141,7 @@ def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool) -> D
         id_type = rows.schema.field("id").type
         block = asked.column("query_id").combine_chunks()
         matrix = topk.vectors(asked.column("asked"), bits) if asked.num_rows else np.empty((0, 0))
-        best = topk.Best(matrix, k, metric)
+        best = kind(matrix, k, metric)
         if rows.num_rows and asked.num_rows:
             best.offer(topk.keys(rows.column("id")), decode(rows.column("vector")))
         return pa.Table.from_batches([_emit(best, block, id_type)])
@@ -160,13 +160,15 @@ def search(
     repeated: bool = False,
     decode: Callable[[pa.Array], np.ndarray] | None = None,
     broadcast_bytes: int = session.BROADCAST_BYTES,
+    kind: Callable[[np.ndarray, int, str], topk.Best] = topk.Best,
 ) -> DataFrame:
     """(query_id, id, score, rank) of the k best base rows of every query.
 
     ``base`` has ``id`` and ``vector`` (and ``key`` when ``keyed``); ``queries``
     has ``query_id`` and ``vector`` (and ``keys``, the array of keys it may
     look into). ``repeated`` says that an id may be stored under several keys.
-    ``decode`` turns a stored base column into a float matrix.
+    ``decode`` turns a stored base column into a matrix, which ``kind`` scores
+    against a block of queries.
     """
     topk.check_metric(metric)
     bits = metric in ("HAMMING", "JACCARD")
@@ -194,9 +196,9 @@ def search(
     if shape["n"] * dim * 8 + shape["n_keys"] * 64 <= broadcast_bytes:
         columns = ["query_id", "vector"] + (["keys"] if keyed else [])
         block = queries.select(*columns).toArrow()
-        scored = _stream_past(base, block, k, metric, decode, schema, keyed)
+        scored = _stream_past(base, block, k, metric, decode, schema, keyed, kind)
     else:
-        scored = _cells(base, queries, k, metric, decode, schema, dim, keyed)
+        scored = _cells(base, queries, k, metric, decode, schema, dim, keyed, kind)
     if repeated:
         scored = scored.distinct()
     return top_ranked(scored, k, metric)
