@@ -52,7 +52,7 @@ POINTS = 512
 FREQUENT = 1 << 19
 BUCKET_BYTES = 1 << 24
 APART = 1000  # least tokens of what is treated apart from its bucket
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_000_000
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, *range(9, 14)]] = True
