@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 # Largest block of rows that may be collected and shipped to every task.
 BROADCAST_BYTES = 64 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
+DEFAULT_BATCH = "67108864b"  # fixed value: the session's default
 
 
 _shipped: set[str] = set()
@@ -25,6 +27,7 @@ def ship_package(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
+    bound_batches(spark)
     package = Path(__file__).resolve().parent
     target = Path(tempfile.mkdtemp(prefix="vectable-package-")) / "vectable.zip"
     with zipfile.ZipFile(target, "w") as archive:
@@ -34,6 +37,16 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most ``BATCH_BYTES`` to the Python workers, where the session leaves that at its default.
+
+    Each task holds a batch outside the heap, and twice while it grows.
+    """
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, None) in (DEFAULT_BATCH, DEFAULT_BATCH.removesuffix("b")):
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts, as named by ``spark.checkpoint.dir``.
 
