@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry.common import query, ranked_sql, table, workspace
 from vectable.functions.text import shingles
 from vectable.operators import neardup, sparse, textindex, textsearch
-from vectable.session import cut, spread
+from vectable.session import spread
 
 K = 10
 _SPLIT = r"list_filter(string_split_regex(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
@@ -50,7 +50,7 @@ def sparse_search(spark, sf_dir):
 
 @query("sparse_search_pruned", f"with {_COUNTS} {ranked_sql(_IP, K, False)}")
 def sparse_search_pruned(spark, sf_dir):
-    return sparse.sparse_search_pruned(cut(_postings(spark, sf_dir)), _sparse_queries(spark, sf_dir), K)
+    return sparse.sparse_search_pruned(_postings(spark, sf_dir), _sparse_queries(spark, sf_dir), K)
 
 
 # -- near-duplicates ---------------------------------------------------------

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectable import session
+from vectable.functions.blockmax import Walk, entries
 from vectable.functions.text import one_per_row, tokens
 from vectable.operators.search import top_ranked
 
 DROP_RATIO = 0.2  # fixed value: declared default
 MAX_BROADCAST_TERMS = 1_000_000
 HOT_POSTINGS = 1_000_000
-STRONG_TERMS = 3
-_MARGIN = 2e-6  # scores are rounded to six decimals
+CELL_ENTRIES = 4_000_000
 
 
 def term_counts(df: DataFrame, id_col: str, text: str, out_id: str = "id") -> DataFrame:
@@ -95,79 +98,86 @@ def sparse_search(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 def sparse_search_pruned(postings: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Same answer as ``sparse_search`` with fewer scored pairs.
 
-    1. Largest and smallest weight per term bound what a term can add.
-    2. The strongest terms of each query give a floor for its k-th best score.
-    3. Terms whose bounds together stay below the floor cannot lift a row that
-       has no other term: rows come from the remaining, essential terms only,
-       and stay only if their bound reaches the floor, and then the higher
-       floor that their own sums give.
-    4. The surviving pairs are completed with the other terms.
-
-    The postings of the queries' terms are stored first; every step reads these.
+    Postings are gathered to rows, which tasks walk in order of falling peak
+    weight; a block of rows whose largest weights cannot lift it to a query's
+    running k-th score is skipped for that query. Few query entries (counted)
+    go to every task, and only postings of their terms are read on; more meet
+    the rows in a grid of cells with bounded entries. Each task or cell
+    emits k rows per query.
     """
-    asked = session.cut(query_terms(queries))
-    used = session.broadcast_checked(asked.select("term").distinct(), MAX_BROADCAST_TERMS)
-    postings = session.stored(postings.select("term", "id", "weight").join(used, "term", "left_semi"), "postings")
-    bounds = postings.groupBy("term").agg(F.max("weight").alias("hi"), F.min("weight").alias("lo"))
-    high, low = F.col("asked") * F.col("hi"), F.col("asked") * F.col("lo")
-    per_query = Window.partitionBy("query_id")
-    strongest = per_query.orderBy(F.col("up").desc(), "term")
-    weakest = per_query.orderBy(F.col("up").asc(), F.col("term").desc())
-    terms = session.cut(
-        asked.join(bounds, "term")
-        .select(
-            "query_id", "term", "asked",
-            F.greatest(high, low, F.lit(0.0)).alias("up"),
-            F.least(high, low, F.lit(0.0)).alias("down"),
-        )
-        .withColumn("strength", F.row_number().over(strongest))
-        .withColumn("reach", F.sum("up").over(weakest.rowsBetween(Window.unboundedPreceding, 0)))
-    )
-    strong = terms.filter(F.col("strength") <= STRONG_TERMS)
-    unseen = terms.groupBy("query_id").agg(
-        F.sum(F.when(F.col("strength") > STRONG_TERMS, F.col("down")).otherwise(0.0)).alias("loss")
-    )
-    first = _summed(term_join(postings, strong.select("query_id", "term", "asked")))
-    kth = top_ranked(first.withColumn("score", F.col("total")), k, "IP").filter(F.col("rank") == k)
-    floors = kth.join(unseen, "query_id").select(
-        "query_id", (F.col("score") + F.col("loss") - _MARGIN).alias("floor")
-    )
-    split = session.cut(
-        terms.join(floors, "query_id", "left").withColumn(
-            "essential", F.col("floor").isNull() | (F.col("reach") >= F.col("floor"))
-        )
-    )
-    small = ~F.col("essential")
-    rest = split.groupBy("query_id").agg(
-        F.sum(F.when(small, F.col("up")).otherwise(0.0)).alias("possible"),
-        F.sum(F.when(small, F.col("down")).otherwise(0.0)).alias("loss"),
-        F.sum(F.when(small, F.abs("asked")).otherwise(0.0)).alias("mass"),
-        F.first("floor").alias("floor"),
-    )
-    # What is left to gain is also bounded by the largest weight of the row itself.
-    peaks = postings.groupBy("id").agg(F.max(F.abs("weight")).alias("peak"))
-    reached = _summed(term_join(postings, split.filter("essential").select("query_id", "term", "asked")))
-    bound = F.col("total") + F.least(F.col("possible"), F.col("mass") * F.col("peak"))
-    kept = session.cut(
-        reached.join(peaks, "id")
-        .join(rest, "query_id")
-        .filter(F.col("floor").isNull() | (bound >= F.col("floor")))
-        .select("query_id", "id", "total", "loss", bound.alias("bound"))
+    asked = queries.select("query_id", F.map_entries("vector").alias("e")).filter(F.size("e") > 0)
+    asked = session.cut(asked.select("query_id", _hashes("e.key").alias("terms"), F.col("e.value").cast("array<double>").alias("weights")))
+    size = asked.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("entries")).first()
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((asked, "query_id"), (postings, "id"))]
+    schema = f"query_id {kinds[0]}, id {kinds[1]}, score double"
+    if not size.n or k < 1:
+        return top_ranked(postings.sparkSession.createDataFrame([], schema), max(k, 1), "IP")
+    held = postings.select("id", F.xxhash64("term").alias("term"), F.col("weight").cast("double").alias("weight"))
+    few = size.entries <= MAX_BROADCAST_TERMS
+    if few:
+        used = asked.select(F.explode("terms").alias("term")).distinct()
+        held = held.join(F.broadcast(used), "term", "left_semi")
+    entry = F.struct("term", "weight")
+    rows = (
+        session.by_key(held, "id").groupBy("id")
+        .agg(F.collect_list(entry).alias("e"), F.max(F.abs("weight")).alias("peak"))
+        .select("id", F.col("e.term").alias("terms"), F.col("e.weight").alias("weights"), "peak")
     )
-    sure = kept.withColumn("score", F.col("total") + F.col("loss"))
-    higher = top_ranked(sure, k, "IP").filter(F.col("rank") == k).select(
-        "query_id", (F.col("score") - _MARGIN).alias("higher")
-    )
-    alive = session.cut(
-        kept.join(higher, "query_id", "left")
-        .filter(F.col("higher").isNull() | (F.col("bound") >= F.col("higher")))
-        .select("query_id", "id", "total")
-    )
-    minor = split.filter(~F.col("essential")).select("query_id", "term", "asked")
-    added = alive.select("query_id", "id").join(minor, "query_id").join(postings, ["term", "id"])
-    whole = (
-        alive.unionByName(added.select("query_id", "id", (F.col("asked") * F.col("weight")).alias("total")))
-        .groupBy("query_id", "id")
-        .agg(F.round(F.sum("total"), 6).alias("score"))
-    )
-    return top_ranked(whole, k, "IP")
+    if few:
+        found = _walked(rows.sortWithinPartitions(F.desc("peak"), "id").drop("peak"), asked, k, schema)
+    else:
+        found = _walked_cells(rows, asked, k, schema, size.entries)
+    return top_ranked(found, k, "IP")
+
+
+def _hashes(col: str):
+    return F.transform(F.col(col), lambda t: F.xxhash64(t))
+
+
+def _best_of(walk: Walk, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+    query, ids, score = walk.rows()
+    return pa.RecordBatch.from_arrays([query_ids.take(pa.array(query)), pa.array(ids, id_type), pa.array(score)], names=["query_id", "id", "score"])
+
+
+def _walk_of(asked: pa.Table, k: int) -> Walk:
+    terms, first = entries(asked.column("terms"))
+    return Walk(terms, entries(asked.column("weights"))[0], first, k)
+
+
+def _walked(rows: DataFrame, asked: DataFrame, k: int, schema: str) -> DataFrame:
+    """Rows walked past all queries, which every task holds."""
+    block = asked.toArrow()
+    query_ids = block.column("query_id").combine_chunks()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        walk, id_type = _walk_of(block, k), None
+        for batch in batches:
+            id_type = batch.schema.field("id").type
+            walk.offer(batch)
+        if id_type is not None:
+            yield _best_of(walk, query_ids, id_type)
+
+    return rows.mapInArrow(run, schema)
+
+
+def _walked_cells(rows: DataFrame, asked: DataFrame, k: int, schema: str, n_entries: int) -> DataFrame:
+    """Parts of the rows met with parts of the queries, each of about ``CELL_ENTRIES`` entries."""
+    rows = session.stored(rows, "rows")
+    total = rows.agg(F.sum(F.size("terms"))).first()[0] or 0
+    row_parts, query_parts = (max(1, -(-n // CELL_ENTRIES)) for n in (total, n_entries))
+
+    def every(parts: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+
+    left = rows.withColumn("rp", F.pmod(F.xxhash64("id"), F.lit(row_parts)).cast("int")).withColumn("qp", every(query_parts))
+    right = asked.withColumn("qp", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")).withColumn("rp", every(row_parts))
+
+    def cell(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not held.num_rows or not wanted.num_rows:
+            ids = [pa.array([], t.schema.field(c).type) for t, c in ((wanted, "query_id"), (held, "id"))]
+            return pa.table([*ids, pa.array([], pa.float64())], names=["query_id", "id", "score"])
+        walk = _walk_of(wanted, k)
+        walk.offer(held.sort_by([("peak", "descending"), ("id", "ascending")]))
+        return pa.Table.from_batches([_best_of(walk, wanted.column("query_id").combine_chunks(), held.schema.field("id").type)])
+
+    return left.groupBy("rp", "qp").cogroup(right.groupBy("rp", "qp")).applyInArrow(cell, schema)
