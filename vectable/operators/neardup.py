@@ -13,6 +13,7 @@ BANDS = 8  # fixed value: declared parameter
 NUM_HASH = 32
 PRIME = 2**31 - 1
 HOT_PAIRS = 65536
+HOT_MEMBERS = 256
 _GROWTH = 16
 
 
@@ -107,7 +108,8 @@ def near_duplicates(
     their smallest id first. Inside a bucket the members are compared with its
     smallest ids, then with the next ones, and only as long as an unseen smaller
     id could still be the answer; nothing is left out and no bucket is gathered
-    in one task.
+    in one task. Buckets of more than ``HOT_MEMBERS`` are first cut, without
+    loss, into the texts that share a rare shingle.
     """
     texts = session.spread(df.select("id", "text").filter(F.size(tokens(F.coalesce("text", F.lit("")))) > 0))
     grams = shingles(texts, "text", n)
@@ -126,7 +128,9 @@ def near_duplicates(
     signed = _signatures(hashed, num_hash).join(own.select("id", F.size("shingles").alias("size")), "id")
     banded = session.stored(band_keys(signed, num_hash, bands), "bands")
     members = banded.join(_buckets(banded).select("band", "key", "n"), ["band", "key"])
-    members = session.stored(members, "members")
+    members = session.stored(members.select("band", "key", "id", "size", "n"), "members")
+    if not members.filter(F.col("n") > HOT_MEMBERS).isEmpty():
+        members = session.stored(_cut_buckets(own, members, threshold), "members")
     best = _earliest(own, members, threshold)
     # A folded text repeats its representative, unless that one has an earlier match.
     return (
@@ -141,6 +145,32 @@ def near_duplicates(
     )
 
 
+def _cut_buckets(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """``members`` with each bucket of more than ``HOT_MEMBERS`` cut by rare shingles.
+
+    Two sets that reach the threshold share at least ceil(threshold * size)
+    shingles of either, so with the shingles of each in one order, they share one
+    of the first size - ceil(threshold * size) + 1. The order is by the number of
+    rows in the bucket that have the shingle, rarest first: texts that have
+    little in common meet in few of the smaller buckets, whose key is the old
+    one and the shingle. The rows grow with the shingles, not with the pairs.
+    """
+    hot = members.filter(F.col("n") > HOT_MEMBERS).select("band", "key", "id", "size")
+    held = one_per_row(hot.join(own, "id"), "shingles", "band", "key", "id", "size", name="s")
+    often = held.groupBy("band", "key", "s").agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("band", "key", "id").orderBy("rows", "s")
+    needed = F.col("size") - F.ceil(F.col("size") * F.lit(threshold - 1e-6)) + 1
+    first = (
+        held.join(often, ["band", "key", "s"])
+        .withColumn("place", F.row_number().over(order))
+        .filter((F.col("place") <= needed) & (F.col("rows") > 1))
+        .select("band", F.concat("key", F.array("s")).alias("key"), "id", "size")
+    )
+    first = session.stored(first, "cut")
+    sizes = first.groupBy("band", "key").agg(F.count("*").alias("n")).filter(F.col("n") > 1)
+    return members.filter(F.col("n") <= HOT_MEMBERS).unionByName(first.join(sizes, ["band", "key"]))
+
+
 def _earliest(own: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(id, first_id, jaccard) of the earliest match of each row in its buckets."""
     best, pending, seen, size = None, members, 0, 1
