@@ -12,7 +12,7 @@ from registry.common import (
     SCALED, VECTORS, as_queries, query, ranked_sql, scaled, table, vectors, workspace,
 )
 from vectable.functions import metrics
-from vectable.operators import dense, ivf
+from vectable.operators import anisotropic, dense, ivf
 from vectable.plans.auto import auto_search
 
 K, NPROBE, REFINE, SUBS = 10, 3, 4, 8
@@ -346,6 +346,76 @@ def scann_rerank_search(spark, sf_dir):
     )
 
 
+# -- codes for inner products ------------------------------------------------
+
+
+def _anisotropic_sql() -> str:
+    """The codes sub-vector by sub-vector, in as many sweeps, each step one table."""
+    extra = f"({anisotropic.along_weight(64)!r}::double - 1) / list_dot_product(v.v, v.v)"
+    steps = ["""step0 as materialized (
+  select p.id, list(p.code order by p.s) as codes, list(list_dot_product(x.x, x.x) - list_dot_product(x.x, p.word) order by p.s) as along
+  from pq_codes p join parts x on x.id = p.id and x.s = p.s group by p.id)"""]
+    for n in range(anisotropic.SWEEPS * SUBS):
+        s = n % SUBS
+        steps.append(f"""step{n + 1} as materialized (
+  select id, list_transform(codes, lambda x, i: case when i = {s + 1} then code else x end) as codes,
+         list_transform(along, lambda x, i: case when i = {s + 1} then a else x end) as along from (
+    select *, row_number() over (partition by id order by
+        round(error + extra * (list_sum(along) - along[{s + 1}] + a) * (list_sum(along) - along[{s + 1}] + a), {anisotropic.DIGITS}), code) as place
+    from (select t.id, t.codes, t.along, w.code, {extra} as extra,
+                 list_dot_product(x.x, x.x) - list_dot_product(x.x, w.word) as a,
+                 list_dot_product(x.x, x.x) - 2 * list_dot_product(x.x, w.word) + list_dot_product(w.word, w.word) as error
+          from step{n} t join parts x on x.id = t.id and x.s = {s} join vectors v on v.id = t.id join cells w on w.s = {s}))
+  where place = 1)""")
+    parts = f"""parts as materialized (
+  select v.id, s, list_slice(v.v, s * {_WIDTH} + 1, s * {_WIDTH} + {_WIDTH}) as x from vectors v, subs),
+cells as materialized (
+  select s, list_id as code, list_slice(c, s * {_WIDTH} + 1, s * {_WIDTH} + {_WIDTH}) as word from centroids, subs)"""
+    last = f"step{anisotropic.SWEEPS * SUBS}"
+    coded = f"""weighed as (
+  select l.id, l.list_id, d.y from lists l join (
+    select id, flatten(list(word order by s)) as y from (
+      select id, unnest(codes) as code, unnest(range({SUBS})) as s from {last}) join cells using (s, code) group by 1) d
+  on d.id = l.id)"""
+    return ", ".join([_PQ, parts, *steps, coded])
+
+
+_WEIGHED = _anisotropic_sql()
+_LAST_STEP = f"step{anisotropic.SWEEPS * SUBS}"
+
+
+@query("anisotropic_encode", f"{_BASE_SQL}, {_WEIGHED} select id, array_to_string(codes, ',') as codes from {_LAST_STEP}")
+def anisotropic_encode(spark, sf_dir):
+    """Codes whose error along the vector weighs more, with given codebooks."""
+    base = vectors(spark, sf_dir).select("id", "vector")
+    coded = anisotropic.anisotropic_encode(base, _codebooks(label_means(spark, sf_dir)))
+    one = [F.conv(F.hex(F.substring("code", i + 1, 1)), 16, 10) for i in range(SUBS)]
+    return coded.select("id", F.concat_ws(",", *one).alias("codes"))
+
+
+def _anisotropic_search_sql() -> str:
+    score = "list_dot_product"
+    asked = f"""asked as (select v.id, v.v, c.list_id, row_number() over (
+      partition by v.id order by round({score}(v.v, c.c), 6) desc, c.list_id) as place from vectors v, centroids c)"""
+    own = "lists as (select v.id, v.v, a.list_id from vectors v join asked a on a.id = v.id and a.place = 1)"
+    pairs = f"""select p.id as query_id, b.id, round({score}(p.v, b.y), 6) as score
+      from asked p join weighed b on b.list_id = p.list_id where p.place <= {NPROBE}"""
+    again = f"""select r.query_id, r.id, round({score}(q.v, b.v), 6) as score
+      from ({ranked_sql(pairs, K * REFINE, False)}) r join vectors q on q.id = r.query_id join vectors b on b.id = r.id"""
+    return f"with {VECTORS}, {CENTROIDS}, {asked}, {own}, {_WEIGHED} {ranked_sql(again, K, False)}"
+
+
+@query("anisotropic_search_ip", _anisotropic_search_sql())
+def anisotropic_search_ip(spark, sf_dir):
+    """Candidates by codes for inner products, then scored from the raw vectors."""
+    lists, centroids = _lists(spark, sf_dir, "IP")
+    codebooks = _codebooks(centroids)
+    coded = anisotropic.anisotropic_encode(lists, codebooks)
+    return ivf.rerank_search(
+        coded, codebooks, centroids, _asked(spark, sf_dir), K, NPROBE, REFINE, raw=vectors(spark, sf_dir), metric="IP"
+    )
+
+
 @query(
     "recall_report",
     f"""{_BASE_SQL},

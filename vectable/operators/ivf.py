@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vectable import session
-from vectable.functions import metrics, topk
+from vectable.functions import topk
 from vectable.operators.search import search, top_ranked
 
 NLIST, PQ_M, PQ_NBITS = 100, 8, 8  # fixed values: declared defaults
 CANDIDATE_ROWS = 1_000_000
+ASKED_ROWS = 50_000
 MAX_CENTROID_BYTES = 256 * 1024 * 1024
 
 
@@ -330,12 +331,16 @@ def rerank_search(
     if raw is None:
         return ivf_pq_search(lists, codebooks, centroids, queries, k, nprobe, metric, **options)
     found = ivf_pq_search(lists, codebooks, centroids, queries, k * refine, nprobe, metric, **options)
-    found = session.cut(found.select("query_id", "id"))
-    # Raw rows are reduced by the candidates first, without a shuffle while these are few (counted).
-    wanted = session.broadcast_checked(found.select("id").distinct(), CANDIDATE_ROWS)
-    pairs = (
-        found.join(raw.select("id", "vector").join(wanted, "id", "left_semi"), "id")
-        .join(queries.select("query_id", F.col("vector").alias("asked")), "query_id")
-    )
-    scored = pairs.select("query_id", "id", metrics.score("asked", "vector", metric).alias("score"))
-    return top_ranked(scored.filter(F.col("score").isNotNull()), k, metric)
+    found = session.stored(found.select("query_id", "id"), "candidates")
+    # Few candidates, and few asked vectors, go to the raw rows where these are read (both counted).
+    asked = queries.select("query_id", F.col("vector").alias("asked")).filter(F.col("asked").isNotNull())
+    pairs = raw.select("id", "vector").join(session.broadcast_checked(found, CANDIDATE_ROWS), "id")
+    pairs = pairs.join(session.broadcast_checked(asked, ASKED_ROWS), "query_id").filter(F.size("vector") == F.size("asked"))
+
+    @F.arrow_udf("double")
+    def scored(a: pa.Array, b: pa.Array) -> pa.Array:
+        score = np.round(topk.pair_scores(topk.vectors(a), topk.vectors(b), metric), topk.DIGITS) + 0.0
+        return pa.array(score, pa.float64(), mask=~np.isfinite(score))
+
+    pairs = pairs.select("query_id", "id", scored("asked", "vector").alias("score"))
+    return top_ranked(pairs.filter(F.col("score").isNotNull()), k, metric)
