@@ -38,18 +38,71 @@ def prune_graph(spark, sf_dir):
     return graph.prune_graph(graph.knn_graph(scaled(spark, sf_dir), M), DEGREE)
 
 
-@query("nn_descent", "select true as enough")
+def _pruned_sql(name: str, source: str, most: int, degree: int) -> str:
+    """Greedy pruning of ``source`` (src, dst, score), one table per place in the order of a row's edges."""
+    ordered = f"""{name}_in as materialized (
+  select src, dst, score, row_number() over (partition by src order by score, dst) as n from {source})"""
+    steps = [ordered, f"{name}0 as (select src, []::bigint[] as kept from (select distinct src from {name}_in))"]
+    for n in range(1, most + 1):
+        steps.append(f"""{name}{n} as materialized (
+  select p.src, case when e.dst is null or len(p.kept) = {degree} or exists (
+      select 1 from (select unnest(p.kept) as k) t join scaled a on a.id = t.k
+      where {graph.ALPHA} * round(list_distance(a.v, b.v), 6) <= e.score)
+    then p.kept else list_append(p.kept, e.dst) end as kept
+  from {name}{n - 1} p left join {name}_in e on e.src = p.src and e.n = {n} left join scaled b on b.id = e.dst)""")
+    last = f"""{name} as materialized (
+  select k.src, k.dst, i.score, k.rank::int as rank from (
+    select src, unnest(kept) as dst, unnest(range(1, len(kept) + 1)) as rank from {name}{most}) k
+  join {name}_in i on i.src = k.src and i.dst = k.dst)"""
+    return ",\n".join([*steps, last])
+
+
+_TURNED = f"""turned as (
+  select src, dst, score from near union
+  select src, dst, score from (
+    select dst as src, src as dst, score, row_number() over (partition by dst order by score, src) as n from near)
+  where n <= {graph.REVERSE * DEGREE})"""
+
+
+@query("ratio_prune", f"with {SCALED}, {_EDGES}, {_pruned_sql('near', 'edges', M, DEGREE)} select * from near")
+def ratio_prune(spark, sf_dir):
+    """Edges that no kept neighbour makes needless, by distance ratio."""
+    base = scaled(spark, sf_dir)
+    return graph.ratio_prune(session.cut(graph.knn_graph(base, M)), base, DEGREE)
+
+
+@query(
+    "robust_graph",
+    f"""with {SCALED}, {_EDGES}, {_pruned_sql('near', 'edges', M, DEGREE)}, {_TURNED},
+    {_pruned_sql('whole', 'turned', (1 + graph.REVERSE) * DEGREE, DEGREE)} select * from whole""",
+)
+def robust_graph(spark, sf_dir):
+    """The pruned edges and their reverses, pruned again."""
+    base = scaled(spark, sf_dir)
+    return graph.robust_graph(session.cut(graph.knn_graph(base, M)), base, DEGREE)
+
+
+_ENOUGH = "select count(*) as asked, true as enough from embeddings"
+
+
+def _enough(found, exact, k, base):
+    """(asked, enough): the number of rows that asked, and whether nine tenths of the exact answers were found."""
+    asked = base.agg(F.count("*").alias("asked"))
+    return asked.crossJoin(F.broadcast(dense.recall(found, exact, k).select((F.col("recall") >= 0.9).alias("enough"))))
+
+
+@query("nn_descent", _ENOUGH)
 def nn_descent(spark, sf_dir):
     """Whether the descent finds nine tenths of the edges of the exact graph."""
     base = vectors(spark, sf_dir).select("id", "vector")
     turned = [F.col("src").alias("query_id"), F.col("dst").alias("id"), F.col("score"), F.col("rank")]
     found = graph.nn_descent(base, M, pool=48, iterations=6, fan=24).select(*turned)
     exact = graph.knn_graph(base, M).select(*turned)
-    return dense.recall(found, exact, M).select((F.col("recall") >= 0.9).alias("enough"))
+    return _enough(found, exact, M, base)
 
 
 _ALL = """select a.id as query_id, b.id, round(list_distance(a.v, b.v), 6) as score
-  from vectors a, vectors b where a.id < 20"""
+  from vectors a, vectors b where a.id % 50 = 0"""
 
 
 def id_ring(base):
@@ -72,14 +125,14 @@ def graph_search(spark, sf_dir):
     ring = id_ring(base).select("src", "dst", *step)
     near = graph.nn_descent(base, M, pool=M, iterations=1, fan=8)
     edges = session.cut(near.unionByName(ring).select("src", "dst", "score", "rank"))
-    return graph.graph_search(edges, base, as_queries(base.filter("id < 20")), K, ef=rows, width=rows)
+    return graph.graph_search(edges, base, as_queries(base.filter("id % 50 = 0")), K, ef=rows, width=rows)
 
 
-@query("graph_search_recall", "select true as enough")
+@query("graph_search_recall", _ENOUGH)
 def graph_search_recall(spark, sf_dir):
     """Whether beams of 32 along the graph of the descent reach a recall of 0.9."""
     base = vectors(spark, sf_dir).select("id", "vector")
     edges = session.cut(graph.both_ways(graph.nn_descent(base, M, pool=48, iterations=6, fan=24), M))
     found = graph.graph_search(edges, base, as_queries(base), K, ef=32)
     exact = dense.knn(base, as_queries(base), K, "L2")
-    return dense.recall(found, exact, K).select((F.col("recall") >= 0.9).alias("enough"))
+    return _enough(found, exact, K, base)

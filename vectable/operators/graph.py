@@ -14,6 +14,8 @@ from vectable.functions import metrics, topk
 from vectable.operators.search import search, top_ranked
 
 GRAPH_M, EF_CONSTRUCTION = 16, 200  # fixed values: declared defaults
+ALPHA = 1.2
+REVERSE = 4
 
 
 def _best_edges(scored: DataFrame, m: int, metric: str) -> DataFrame:
@@ -155,6 +157,61 @@ def prune_graph(edges: DataFrame, degree: int) -> DataFrame:
     return kept.select("src", "dst", "score", "detours", F.col("place").alias("rank"))
 
 
+def ratio_prune(edges: DataFrame, base: DataFrame, degree: int, alpha: float = ALPHA, metric: str = "L2") -> DataFrame:
+    """At most ``degree`` edges (src, dst, score, rank) per row, without those that a kept one makes needless.
+
+    The edges of a row are gone through from the nearest on; an edge is left out
+    when a kept neighbour is nearer to its end, by the factor ``alpha``, than the row
+    itself. Scores are those of ``edges``; distances between neighbours are L2 and rounded alike. Ends without a finite
+    vector of the row's dimension are left out. Callers bound the edges of a row, as ``nn_descent`` and ``knn_graph`` do.
+    """
+    if metric != "L2":
+        raise ValueError("distance ratios need distances: L2")
+    if alpha < 1.0:
+        raise ValueError("alpha must be at least 1")
+    ends = base.select(F.col("id").alias("dst"), "vector").filter(F.col("vector").isNotNull())
+    held = edges.select("src", "dst", "score").join(ends, "dst")
+    rows = held.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("score", "dst", "vector"))).alias("l"))
+    rows = session.spread(rows.select("src", F.col("l.score").alias("scores"), F.col("l.dst").alias("ends"), F.col("l.vector").alias("vectors")))
+    kinds = [edges.schema[c].dataType.simpleString() for c in ("src", "dst")]
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            src, dst, score, rank = [], [], [], []
+            for i in range(batch.num_rows):
+                ends_ = batch.column("ends")[i].values
+                vectors = [np.array(v, np.float64) for v in batch.column("vectors")[i].as_py()]
+                scores = batch.column("scores")[i].values.to_numpy(zero_copy_only=False)
+                dim = max(map(len, vectors))
+                at = [n for n, v in enumerate(vectors) if len(v) == dim and np.isfinite(v).all()]
+                kept: list[int] = []
+                for n in at:
+                    if len(kept) == degree:
+                        break
+                    if not kept or not (alpha * np.round(np.sqrt(((np.array([vectors[j] for j in kept]) - vectors[n]) ** 2).sum(1)), topk.DIGITS) <= scores[n]).any():
+                        kept.append(n)
+                src.append(pa.array([batch.column("src")[i].as_py()] * len(kept), batch.schema.field("src").type))
+                dst.append(ends_.take(pa.array(kept, pa.int64())))
+                score.append(scores[kept])
+                rank.append(np.arange(1, len(kept) + 1, dtype=np.int32))
+            if src:
+                columns = [pa.concat_arrays(src), pa.concat_arrays(dst), pa.array(np.concatenate(score)), pa.array(np.concatenate(rank))]
+                yield pa.RecordBatch.from_arrays(columns, names=["src", "dst", "score", "rank"])
+
+    return rows.mapInArrow(prune, f"src {kinds[0]}, dst {kinds[1]}, score double, rank int")
+
+
+def robust_graph(edges: DataFrame, base: DataFrame, degree: int, alpha: float = ALPHA) -> DataFrame:
+    """``ratio_prune`` of the edges, then of these and their reverses: so that rows can be left by ways they were reached.
+
+    Of the reverses that point to one row the nearest ``REVERSE`` times ``degree`` take part, as a hub has them without bound.
+    """
+    first = session.cut(ratio_prune(edges, base, degree, alpha))
+    turned = first.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
+    near = _best_edges(turned, REVERSE * degree, "L2").drop("rank")
+    return ratio_prune(first.drop("rank").unionByName(near).distinct(), base, degree, alpha)
+
+
 def both_ways(edges: DataFrame, degree: int, metric: str = "L2") -> DataFrame:
     """Edges in both directions, the best ``degree`` per row."""
     turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "score")
