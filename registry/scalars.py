@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from registry.common import query, table
-from vectable.operators import scalar, spatial
+from registry.common import query, table, workspace
+from vectable.operators import pointmap, scalar, spatial
 
 
 @query(
@@ -109,11 +109,20 @@ def _points(spark, sf_dir):
 _POINTS = "points as (select vec_id as id, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
 
 
-@query(
-    "within_box",
-    f"""with {_POINTS} select id, round(x, 6) as x, round(y, 6) as y from points
-    where x between -0.1::double and 0.1::double and y between -0.05::double and 0.2::double""",
-)
+_WITHIN_SQL = f"""with {_POINTS} select id, round(x, 6) as x, round(y, 6) as y from points
+    where x between -0.1::double and 0.1::double and y between -0.05::double and 0.2::double"""
+
+
+@query("within_box_stored", _WITHIN_SQL)
+def within_box_stored(spark, sf_dir):
+    """The same box, from points stored along a space-filling curve."""
+    path = workspace(spark, "points")
+    pointmap.write_points(_points(spark, sf_dir), "x", "y", path)
+    rows = pointmap.stored_within_box(pointmap.read_points(spark, path), (-0.1, -0.05, 0.1, 0.2))
+    return rows.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query("within_box", _WITHIN_SQL)
 def within_box(spark, sf_dir):
     rows = spatial.within_box(_points(spark, sf_dir), "x", "y", (-0.1, -0.05, 0.1, 0.2))
     return rows.select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
