@@ -6,8 +6,9 @@ agree in a whole band of ``ROWS`` values are candidates: at a similarity of 0.8
 a pair shares none of the ``BANDS`` bands with probability 3e-7, and less above.
 
 Candidates form groups: the connected parts of the band buckets, or, where
-such a part has more than ``PART`` nodes, the buckets themselves (a pair then
-counts in the first band it shares). A group is cut into cells of two chunks of
+such a part has more than ``PART`` nodes, the buckets themselves (a pair is then
+taken in the first band it shares). Either way exactly the pairs that share a band are
+candidates. A group is cut into cells of two chunks of
 about ``CHUNK`` nodes, so no task gets a whole hot group and no pair is a row.
 Within a cell signatures are compared step by step; after m values with k
 matches the posterior of the similarity is Beta(k + 1, m - k + 1), and a pair is
@@ -46,7 +47,7 @@ ROWS, BANDS = 6, 50
 HASHES = ROWS * BANDS
 STEP = 30
 TOLERANCE = 1e-9
-CHUNK = 256
+CHUNK = 512
 PART = 20_000
 BROADCAST_ROWS = 1_000_000
 _TOP = np.iinfo(np.uint64).max
@@ -150,6 +151,18 @@ def surviving_pairs(a: np.ndarray, b: np.ndarray, same: bool, similarity: float)
     return i, j
 
 
+def sharing(signature: np.ndarray, i: np.ndarray, j: np.ndarray, band: int) -> np.ndarray:
+    """Which pairs share a band; in the bucket of ``band``, which share this one first (-1: any)."""
+    keys = np.ascontiguousarray(signature).view(np.dtype((np.void, ROWS))).reshape(len(signature), -1)
+    keys = np.stack([np.unique(column, return_inverse=True)[1] for column in keys.T], axis=1).astype(np.int32)
+    out = np.empty(len(i), bool)
+    for at in range(0, len(i), 65536):
+        equal = keys[i[at : at + 65536]] == keys[j[at : at + 65536]]
+        first = equal.any(axis=1)
+        out[at : at + 65536] = first if band < 0 else first & (equal.argmax(axis=1) == band)
+    return out
+
+
 def common_counts(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of ``sets[i]`` and ``sets[j]``."""
     if len(i) <= 4 * len(sets):
@@ -183,10 +196,8 @@ def _cell(similarity: float):
         same = group[0] == group[1]
         i, j = surviving_pairs(signature[left], signature[right], same, similarity)
         i, j = left[i], right[j]
-        if band >= 0 and len(i):  # the group is one bucket: the pair belongs to the first band that it shares
-            equal = (signature[i] == signature[j]).reshape(len(i), BANDS, ROWS).all(axis=2)
-            mine = equal.argmax(axis=1) == band
-            i, j = i[mine & equal[:, band]], j[mine & equal[:, band]]
+        mine = sharing(signature, i, j, band)
+        i, j = i[mine], j[mine]
         used, both = np.unique(np.concatenate([i, j]), return_inverse=True)
         sets = [np.frombuffer(raw[u], np.uint64) for u in used]
         i, j = both[: len(i)], both[len(i) :]

@@ -31,11 +31,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Documents are known by id and text: of several texts of the smallest id, the one of the least hash stays.
     """
     ship_package(spark)
-    kept = written(jaccard.joined_rows(docs).filter("_heads").select("doc_id", "_row"), "kept")
-    rows = kept.distinct()
-    same = docs["doc_id"].eqNullSafe(rows["doc_id"]) & (jaccard.row_of(docs["doc_id"], docs["text"]) == rows["_row"])
-    held = docs.join(broadcast_checked(rows, KEY_ROWS), same, "left_semi")
-    if kept.count() > rows.count():  # rows repeat: of rows with one id and one text the first stays
+    found = written(jaccard.joined_rows(docs).select("doc_id", "_row", "_heads"), "heads")
+    lost = written(found.filter(~F.col("_heads")).select("doc_id", "_row").distinct(), "lost")
+    same = docs["doc_id"].eqNullSafe(lost["doc_id"]) & (jaccard.row_of(docs["doc_id"], docs["text"]) == lost["_row"])
+    held = docs.join(broadcast_checked(lost, KEY_ROWS), same, "left_anti")
+    kept = found.filter("_heads")
+    if kept.count() > kept.distinct().count():  # rows repeat: of rows with one id and one text the first stays
         return held.dropDuplicates(["doc_id", "text"])
     return held
 
