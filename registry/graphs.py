@@ -136,3 +136,13 @@ def graph_search_recall(spark, sf_dir):
     found = graph.graph_search(edges, base, as_queries(base), K, ef=32)
     exact = dense.knn(base, as_queries(base), K, "L2")
     return _enough(found, exact, K, base)
+
+
+@query("layered_search_recall", "select count(*) filter (where vec_id % 50 = 0) as asked, true as enough from embeddings")
+def layered_search_recall(spark, sf_dir):
+    """Whether narrow beams, let in from the layers above, reach a recall of 0.9."""
+    base = vectors(spark, sf_dir).select("id", "vector")
+    asked = as_queries(base.filter("id % 50 = 0"))
+    edges = session.cut(graph.layered_graph(base, M))
+    found = graph.layered_search(edges, base, asked, K, ef=K, m=M, width=4)
+    return _enough(found, dense.knn(base, asked, K, "L2"), K, asked)

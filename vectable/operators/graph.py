@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from vectable import session
@@ -16,6 +16,9 @@ from vectable.operators.search import search, top_ranked
 GRAPH_M, EF_CONSTRUCTION = 16, 200  # fixed values: declared defaults
 ALPHA = 1.2
 REVERSE = 4
+LAYER_SEED = 37
+EXACT_ROWS = 20_000
+TOP_ROWS = 64
 
 
 def _best_edges(scored: DataFrame, m: int, metric: str) -> DataFrame:
@@ -238,6 +241,17 @@ def graph_search(
         raise ValueError("ef must be at least k")
     base = base.select("id", "vector").filter(F.col("vector").isNotNull())
     starts = base.orderBy(F.xxhash64("id"), "id").limit(entries)
+    first = search(starts, queries, ef, metric).select("query_id", "id", "score")
+    return top_ranked(_beam(edges, base, queries, first, ef, metric, width), k, metric)
+
+
+def _beam(
+    edges: DataFrame, base: DataFrame, queries: DataFrame, first: DataFrame, ef: int, metric: str, width: int, hops: list[int] | None = None
+) -> DataFrame:
+    """(query_id, id, score) of the ``ef`` best rows met from ``first`` (query_id, id, score) along the edges.
+
+    ``hops`` takes the number of rows that each hop scored.
+    """
     asked = queries.select("query_id", F.col("vector").alias("asked"))
     links = edges.select(F.col("src").alias("id"), "dst")
     best_first = F.col("score").asc() if topk.ASCENDING[metric] else F.col("score").desc()
@@ -249,12 +263,11 @@ def graph_search(
         marked = kept.withColumn("next", ~F.col("expanded") & (turn <= width))
         return session.cut(marked.select("query_id", "id", "score", "expanded", "next"))
 
-    first = search(starts, queries, ef, metric).select("query_id", "id", "score")
     beam = step(first.withColumn("expanded", F.lit(False)))
     while True:
         frontier = beam.filter("next").select("query_id", "id")
         if frontier.isEmpty():
-            break
+            return beam.select("query_id", "id", "score")
         fresh = (
             frontier.join(links, "id")
             .select("query_id", F.col("dst").alias("id"))
@@ -268,6 +281,62 @@ def graph_search(
             .filter(F.col("score").isNotNull())
             .withColumn("expanded", F.lit(False))
         )
+        counted = Observation()
+        scored = scored.observe(counted, F.count("*").alias("rows"))
         seen = beam.select("query_id", "id", "score", (F.col("expanded") | F.col("next")).alias("expanded"))
         beam = step(seen.unionByName(scored))
+        if hops is not None:
+            hops.append(counted.get["rows"])
+
+
+# -- layers ------------------------------------------------------------------
+
+
+def layer_of(id_col: str, m: int = GRAPH_M) -> Column:
+    """Layer of a row, from 0: each next one holds about one in ``m`` rows of the one below, by a hash of the id."""
+    share = (F.pmod(F.xxhash64(id_col, F.lit(LAYER_SEED)), F.lit(1 << 40)) + 1) / F.lit(float(1 << 40))
+    return F.floor(-F.log(share) / F.log(F.lit(float(m)))).cast("int")
+
+
+def layered_graph(base: DataFrame, m: int = GRAPH_M, metric: str = "L2", **options) -> DataFrame:
+    """(layer, src, dst, score, rank): a graph of all rows, and one over the rows of each layer above.
+
+    Layers of up to ``EXACT_ROWS`` rows are linked exactly, larger ones by ``nn_descent`` (with ``options``);
+    edges go both ways, at most ``m`` of a row, twice as many in layer 0. Layers end with the first of at most ``TOP_ROWS`` rows.
+    """
+    rows = session.stored(base.select("id", "vector").filter(F.col("vector").isNotNull()).withColumn("layer", layer_of("id", m)), "layers")
+    sizes = {r.layer: r.n for r in rows.groupBy("layer").agg(F.count("*").alias("n")).collect()}
+    edges, layer = None, 0
+    while True:
+        held = sum(n for at, n in sizes.items() if at >= layer)
+        part = rows.filter(F.col("layer") >= layer).drop("layer")
+        near = knn_graph(part, m, metric) if held <= EXACT_ROWS else nn_descent(part, m, metric=metric, **options)
+        both = both_ways(near, 2 * m if layer == 0 else m, metric).withColumn("layer", F.lit(layer))
+        both = session.cut(both.select("layer", "src", "dst", "score", "rank"))
+        edges = both if edges is None else edges.unionByName(both)
+        if held <= TOP_ROWS or not held:
+            return edges
+        layer += 1
+
+
+def layered_search(
+    edges: DataFrame, base: DataFrame, queries: DataFrame, k: int, ef: int = 64, metric: str = "L2", m: int = GRAPH_M,
+    lead: int = 2, width: int = 16, hops: list[int] | None = None,
+) -> DataFrame:
+    """Beam search that finds its entry layer by layer from the top one, whose rows are all scored.
+
+    ``edges`` are those of ``layered_graph`` with the same ``m``. A layer is left
+    with the ``lead`` best rows met there, with which the next one starts.
+    """
+    if ef < k:
+        raise ValueError("ef must be at least k")
+    base = base.select("id", "vector").filter(F.col("vector").isNotNull())
+    top = edges.agg(F.max("layer")).first()[0] or 0
+    starts = base.filter(layer_of("id", m) >= top)
+    if hops is not None:
+        hops.append(starts.count() * queries.count())
+    beam = search(starts, queries, lead if top else ef, metric).select("query_id", "id", "score")
+    for layer in range(top - 1, 0, -1):
+        beam = _beam(edges.filter(F.col("layer") == layer), base, queries, beam, lead, metric, 1, hops)
+    beam = _beam(edges.filter(F.col("layer") == 0), base, queries, beam, ef, metric, width, hops)
     return top_ranked(beam, k, metric)
