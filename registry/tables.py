@@ -10,6 +10,7 @@ from registry.common import query, table, workspace
 from vectable.operators import keys, versions
 from vectable.sources import ingest, tables
 from vectable.spec import Field, TableSpec
+from vectable.streaming.expiry import first_within, first_within_stream
 from vectable.streaming.ingest import ingest_stream
 
 NOW = datetime(2024, 1, 31)
@@ -377,3 +378,31 @@ def stream(spark, sf_dir):
         f"{root}/rows", f"{root}/bad", f"{root}/state",
     ).awaitTermination()
     return spark.read.parquet(f"{root}/rows").select("event_id", "user_id", "event_type", "value")
+
+
+_FIRST_SQL = """with recursive kept as (
+  select user_id, min(ts) as ts from events group by 1
+  union all
+  select k.user_id, (select min(e.ts) from events e where e.user_id = k.user_id and e.ts > k.ts + interval 3 days)
+  from kept k where k.ts is not null)
+select user_id, ts from kept where ts is not null"""
+_THREE_DAYS = 3 * 86400
+
+
+@query("first_within", _FIRST_SQL)
+def first_in_three_days(spark, sf_dir):
+    """Each user's first event, and the next one once that is older than three days."""
+    events = table(spark, sf_dir, "events").select("user_id", "ts")
+    return first_within(events, "user_id", "ts", _THREE_DAYS).distinct()
+
+
+@query("first_within_stream", _FIRST_SQL)
+def first_in_three_days_stream(spark, sf_dir):
+    """The same from a stream of the events."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).select("user_id", "ts")
+    root = workspace(spark, "first-within")
+    kept = first_within_stream(events, "user_id", "ts", _THREE_DAYS, 0)
+    writer = kept.writeStream.format("parquet").outputMode("append").option("path", f"{root}/rows")
+    writer.option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(kept.schema).parquet(f"{root}/rows").select("user_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
