@@ -28,6 +28,27 @@ def test_main_text_of_one_page():
     assert html.main_text("<div class='post'><p>a</p>b</div>") == "a\nb"
 
 
+def test_names_that_only_look_like_furniture():
+    kept = [
+        "<body class='no-sidebar'><article><p>Text</p></article></body>",
+        "<html class='no-footer'><body><article><p>Text</p></article></body></html>",
+        "<article class='post comments-open'><p>Text</p></article>",
+        "<article class='widget-post'><p>Text</p></article>",
+        "<body class='has-sidebar widget'><main class='banner'><p>Text</p></main></body>",
+        "<article><section id='notice-of-meeting'><p>Text</p></section></article>",
+        "<article><section class='related-work'><p>Text</p></section></article>",
+        "<article><div class='banner-story'><p>Text</p></div></article>",
+        "<div class='widget-area'><main><p>Text</p></main></div><div>Outside</div>",
+        "<div class='widget-area'><article><p>Text</p><div class='ad'>Buy</div></article></div>",
+        "<div class='sidebar'><article>Teaser</article></div><div><p>Text</p></div>",
+    ]
+    assert [html.main_text(page) for page in kept] == ["Text"] * len(kept)
+    gone = "ad ads-top ad-slot main-nav nav-primary site-footer cookie-notice sidebar left-sidebar-inner comment comment-12 comments-list comment-author related share-bar navbar2".split()
+    for name in gone:
+        assert html.main_text(f"<article><p>Text</p><div class='x {name} y'><p>Out</p></div></article>") == "Text", name
+    assert html.main_text("<aside class='x'><article>Out</article></aside><p>Text</p>") == "Text"
+
+
 def test_tree_removes_what_all_pages_of_a_host_share(spark):
     rows = [
         (n, f"https://Site.example/{n}", f"<body><div class='top'>All topics, all days</div><div class='post'><p>Story {n} is new</p></div><div class='x'>Call us</div></body>")

@@ -9,8 +9,10 @@ child sequences both are combined as (1 - GAMMA^l) * presentation + GAMMA^l *
 content. Blocks whose node weighs less than ``LEAST`` are removed.
 
 Entropy says nothing on hosts with few pages, so nodes carry a prior by name:
-elements and classes that name page furniture weigh 0, and a page that has an
-``article`` or ``main`` holds its main text there. Nodes in there weigh 1 while
+elements and classes that name page furniture weigh 0 (``names_furniture``; never on
+``html``, ``body``, ``article`` and ``main``), and a page that has an
+``article`` or ``main`` holds its main text there. A ``main`` counts in whatever class it
+lies, an ``article`` within a class of furniture only on a page that has no other text. Nodes in there weigh 1 while
 fewer than ``SEVERAL`` different pages of the host have them; from there on, and
 everywhere else, the tree decides. A page that the tree leaves nothing of its
 ``article`` or ``main`` is read as one without.
@@ -74,7 +76,13 @@ FURNITURE_NAMES = frozenset(
     "pagination popup promo promoted promotion related replies respond share sharing sidebar signup social sponsor "
     "sponsored subscribe toolbar topbar widget".split()
 )
+#: Names that say furniture at the front of a class too; words behind a name that change nothing; words that turn it around.
+FRONT_NAMES = frozenset("ad ads advert advertisement adverts breadcrumb breadcrumbs comment comments disqus masthead nav navbar sidebar".split())
+HOLDERS = frozenset("area bar block body box container content inner item items list outer panel section slot wrap wrapper".split())
+STATES = frozenset("closed disabled enabled free hidden less off on open".split())
+DENIALS = frozenset("has hide no not with without".split())
 MAIN = frozenset({"article", "main"})
+UNNAMED = MAIN | {"html", "body"}
 _NAME = re.compile(r"[a-z]+")
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -84,7 +92,7 @@ _TOKEN = re.compile(
 _OPEN = re.compile(r"<[a-z/!?]", re.IGNORECASE)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 _HOST = re.compile(r"\s*[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", re.IGNORECASE)
-UNDECIDED, MAINLY, FURNITURE = 0, 1, 2
+UNDECIDED, MAINLY, FURNITURE, HIDDEN = 0, 1, 2, 3
 
 
 def host_of(url: str | None) -> str:
@@ -92,10 +100,21 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def names_furniture(name: str) -> bool:
+    """Whether a class, id or role names page furniture: as a whole, by its end, or by a front that says nothing else."""
+    words = _NAME.findall(name)
+    if not words or len(words) > 1 and words[0] in DENIALS:
+        return False
+    front = words[0] in FRONT_NAMES and not (len(words) > 1 and words[1] in STATES)
+    while len(words) > 1 and words[-1] in HOLDERS:
+        words.pop()
+    return front or words[-1] in FURNITURE_NAMES
+
+
 class Node:
-    """An open element: its path, its prior, and the child elements seen."""
+    """An open element: its path, its prior, whether a class alone made it furniture, and the child elements seen."""
 
-    __slots__ = ("tag", "path", "prior", "children")
+    __slots__ = ("tag", "path", "prior", "named", "children")
 
     def __init__(self, tag: str, attrs: str, parent: Node | None):
         names = []
@@ -105,8 +124,14 @@ class Node:
         label = ".".join([tag, *sorted(re.sub(r"\d+", "#", n) for n in names)])
         self.tag, self.path, self.children = tag, f"{parent.path}>{label}" if parent else label, []
         before = parent.prior if parent else UNDECIDED
-        if before == FURNITURE or tag in FURNITURE_TAGS or any(w in FURNITURE_NAMES for n in names for w in _NAME.findall(n)):
+        named = tag not in UNNAMED and any(map(names_furniture, names))
+        self.named = tag not in FURNITURE_TAGS and (named if before != FURNITURE else parent.named)
+        if before == FURNITURE and parent.named and tag in MAIN:
+            self.prior = MAINLY if tag == "main" else HIDDEN
+        elif before == FURNITURE or tag in FURNITURE_TAGS or named:
             self.prior = FURNITURE
+        elif before == HIDDEN:
+            self.prior = HIDDEN
         else:
             self.prior = MAINLY if before == MAINLY or tag in MAIN or "main" in names and tag != "body" else UNDECIDED
         if parent:
@@ -180,7 +205,8 @@ def main_text(html: str | None, removed: frozenset | set = frozenset()) -> str:
     inside = [text for path, prior, text in found if prior == MAINLY and path not in removed]
     if inside:
         return "\n".join(inside)
-    return "\n".join(text for path, prior, text in found if prior == UNDECIDED and path not in removed)
+    plain = [text for path, prior, text in found if prior == UNDECIDED and path not in removed]
+    return "\n".join(plain or [text for _, prior, text in found if prior == HIDDEN])
 
 
 def site_style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
