@@ -14,6 +14,7 @@ from registry.common import (
 from vectable.functions import metrics
 from vectable.operators import anisotropic, dense, ivf
 from vectable.plans.auto import auto_search
+from vectable.session import cut
 
 K, NPROBE, REFINE, SUBS = 10, 3, 4, 8
 
@@ -206,7 +207,7 @@ def assign_lists(spark, sf_dir):
 
 
 def _lists(spark, sf_dir, metric="L2"):
-    centroids = label_means(spark, sf_dir)
+    centroids = cut(label_means(spark, sf_dir))  # read for lists, probes and codebooks
     return ivf.assign_lists(vectors(spark, sf_dir).select("id", "vector"), centroids, metric), centroids
 
 

@@ -120,9 +120,11 @@ def near_duplicates(
         "shingles", lambda s: F.conv(F.substring(F.md5(s.cast("binary")), 1, 15), 16, 10).cast("bigint")
     )
     sets = session.stored(grams.select("id", F.sort_array(as_number).alias("shingles")), "shingles")
-    marked = sets.select("id", F.sha2(F.array_join(F.col("shingles").cast("array<string>"), ","), 256).alias("mark"))
-    folded = marked.groupBy("mark").agg(F.min("id").alias("rep"))
-    copies = session.stored(marked.join(folded, "mark").select("id", "rep"), "copies")
+    # Two hashes from different starts: 128 bits tell the sets apart.
+    marks = [F.xxhash64(F.lit(start), "shingles").alias(f"mark{start}") for start in (1, 2)]
+    marked = sets.select("id", *marks)
+    folded = marked.groupBy("mark1", "mark2").agg(F.min("id").alias("rep"))
+    copies = session.stored(marked.join(folded, ["mark1", "mark2"]).select("id", "rep"), "copies")
     own = sets.join(copies.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
     hashed = one_per_row(own, "shingles", "id", name="s").select("id", F.shiftright("s", 32).alias("h"))
     signed = _signatures(hashed, num_hash).join(own.select("id", F.size("shingles").alias("size")), "id")
