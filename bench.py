@@ -32,7 +32,8 @@ HEADLINES = [
     "expire_new_york", "snapshot_session", "sparse_postings", "sparse_search", "sparse_search_pruned",
     "minhash", "lsh_candidates", "near_duplicates", "token_postings", "text_match_any", "text_match_all",
     "phrase_match", "where_equal", "where_range", "where_prefix", "facet_counts", "autocomplete",
-    "value_bitmaps", "box_join",
+    "value_bitmaps", "box_join", "anisotropic_search_ip", "ratio_prune", "text_match_any_stored", "phrase_match_stored",
+    "within_box_stored", "first_within",
 ]
 
 
