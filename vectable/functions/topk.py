@@ -12,7 +12,9 @@ import pyarrow as pa
 
 DIGITS = 6
 ASCENDING = {"L2": True, "HAMMING": True, "COSINE": False, "IP": False, "JACCARD": False, "AGREEMENT": False}
-_CELLS = 4_000_000  # score-matrix entries held at a time
+_CELLS = 1_000_000  # score-matrix entries held at a time
+_QUERIES = 256  # queries scored at a time
+_PENDING = 500_000  # candidates held, beside the rows kept, before they are merged
 _VALUES = 16_000_000  # vector values held at a time when re-scoring by differences
 
 
@@ -43,7 +45,7 @@ def keys(column: pa.Array) -> np.ndarray:
 
 
 def _score_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
-    """Scores of all rows of q against all rows of b, smaller is better.
+    """Scores of all rows of q against all rows of b, smaller is better; those of L2 squared.
 
     AGREEMENT is the share of equal entries, for signatures.
     """
@@ -52,19 +54,18 @@ def _score_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         for j in range(q.shape[1]):
             equal -= q[:, j, None] == b[None, :, j]
         return equal / q.shape[1]
+    if metric in ("L2", "HAMMING"):  # |q|^2 + |b|^2 - 2 q b as one product
+        left = np.column_stack([q, (q * q).sum(1), np.ones(len(q))])
+        return left @ np.column_stack([-2 * b, np.ones(len(b)), (b * b).sum(1)]).T
     dots = q @ b.T
     if metric == "IP":
-        return -dots
+        return np.negative(dots, out=dots)
     if metric == "COSINE":
-        norms = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
+        norms = -np.sqrt((q * q).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
-            return np.where(norms > 0, -dots / norms, np.inf)
-    squares = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :]
-    if metric == "JACCARD":
-        either = squares - dots
-        return -np.where(either > 0, dots / np.maximum(either, 1), 1.0)
-    gaps = np.maximum(squares - 2 * dots, 0.0)
-    return gaps if metric == "HAMMING" else np.sqrt(gaps)
+            return np.where(norms < 0, dots / norms, np.inf) if (norms == 0).any() else np.divide(dots, norms, out=dots)
+    either = (q * q).sum(1)[:, None] + (b * b).sum(1)[None, :] - dots
+    return -np.where(either > 0, dots / np.maximum(either, 1), 1.0)
 
 
 class Best:
@@ -77,6 +78,8 @@ class Best:
         self.worst = np.full(len(queries), np.inf)
         self._kept: tuple | None = None
         self._pending: list[tuple] = []
+        self._waiting = 0
+        self._last: np.ndarray | None = None  # the id at place k, where ids are numbers
 
     def offer(self, ids: np.ndarray, base: np.ndarray, members: np.ndarray | None = None):
         """Score base rows against the queries ``members`` (all when None).
@@ -90,24 +93,53 @@ class Best:
             ids, base = ids[fits], base[fits]
         if not len(members) or not len(ids):
             return
-        width = max(1, _CELLS // len(members))
-        for start in range(0, len(ids), width):
-            self._offer_block(ids[start : start + width], base[start : start + width], members)
-
-    def _offer_block(self, ids, base, members):
-        q = self.queries[members]
-        scores = _score_matrix(q, base, self.metric)
-        scores[~np.isfinite(scores)] = np.inf
-        limit = self.worst[members]
-        if scores.shape[1] >= self.k:
-            nth = np.partition(scores, self.k - 1, axis=1)[:, self.k - 1]
-            limit = np.minimum(limit, nth)
-        scale = np.ones((len(members), 1))
+        for first in range(0, len(members), _QUERIES):
+            some = members[first : first + _QUERIES]
+            width = max(1, _CELLS // len(some))
+            ready = self._prepared(some, min(width, len(ids)))
+            for start in range(0, len(ids), width):
+                self._offer_block(ids[start : start + width], base[start : start + width], some, ready)
+                # Merged early, so that what waits does not grow with the rows offered.
+                if self._waiting > max(_PENDING, 0 if self._kept is None else len(self._kept[0])):
+                    self.settle()
+
+    def _prepared(self, members: np.ndarray, width: int):
+        """What the queries ``members`` need for blocks of ``width`` rows."""
+        return self.queries[members]
+
+    def _near(self, costs: np.ndarray, members: np.ndarray, scale: np.ndarray, squared: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Places (query, row) of all costs that may be among the k best, a little wider than the k-th score."""
+        slack = 2e-6 * scale
+        limit = self.worst[members] + slack
+        near = costs <= (limit * limit if squared else limit)[:, None]
+        if costs.shape[1] >= self.k and np.count_nonzero(near) > 2 * self.k * len(members):
+            least = np.partition(costs, self.k - 1, axis=1)[:, : self.k]
+            if not np.isfinite(least).all():
+                costs[~np.isfinite(costs)] = np.inf
+                least = np.partition(costs, self.k - 1, axis=1)[:, : self.k]
+            nth = least[:, self.k - 1]
+            limit = np.minimum(limit, (np.sqrt(np.maximum(nth, 0.0)) if squared else nth) + slack)
+            near = costs <= (limit * limit if squared else limit)[:, None]
+        qi, bi = np.nonzero(near)
+        finite = np.isfinite(costs[qi, bi])
+        return (qi, bi) if finite.all() else (qi[finite], bi[finite])
+
+    def _wait(self, members: np.ndarray, scores: np.ndarray, ids: np.ndarray):
+        scores = np.round(scores, DIGITS) + 0.0
+        if self._last is not None:
+            worst = self.worst[members]
+            better = (scores < worst) | ((scores == worst) & (ids <= self._last[members]))
+            members, scores, ids = members[better], scores[better], ids[better]
+        self._pending.append((members, scores, ids))
+        self._waiting += len(ids)
+
+    def _offer_block(self, ids, base, members, q):
+        costs = _score_matrix(q, base, self.metric)
+        scale = np.ones(len(members))
         if self.metric == "L2":
             # The matrix form loses digits near zero: widen, then score by differences.
-            scale += np.maximum(self.norms[members], np.sqrt((base * base).sum(1).max()))[:, None]
-        near = (scores <= limit[:, None] + 2e-6 * scale) & np.isfinite(scores)
-        qi, bi = np.nonzero(near)
+            scale += np.maximum(self.norms[members], np.sqrt((base * base).sum(1).max()))
+        qi, bi = self._near(costs, members, scale, self.metric == "L2")
         if not len(qi):
             return
         if self.metric == "L2":
@@ -117,8 +149,8 @@ class Best:
                 gap = q[qi[at : at + step]] - base[bi[at : at + step]]
                 exact[at : at + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
         else:
-            exact = scores[qi, bi]
-        self._pending.append((members[qi], np.round(exact, DIGITS) + 0.0, ids[bi]))
+            exact = costs[qi, bi]
+        self._wait(members[qi], exact, ids[bi])
 
     def settle(self):
         """Merge what was offered since the last call."""
@@ -135,7 +167,10 @@ class Best:
         keep = rank < self.k
         full = rank == self.k - 1
         self.worst[q[full]] = score[full]
-        self._kept, self._pending = (q[keep], score[keep], ids[keep]), []
+        if ids.dtype.kind in "iu":
+            self._last = np.zeros(len(self.queries), ids.dtype) if self._last is None else self._last
+            self._last[q[full]] = ids[full]
+        self._kept, self._pending, self._waiting = (q[keep], score[keep], ids[keep]), [], 0
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query index, id, score) of the k best, score in its natural sign."""
@@ -194,45 +229,47 @@ class TableBest(Best):
         super().__init__(queries, k, metric)
         if metric not in ("L2", "IP", "COSINE"):
             raise ValueError(f"codes have no {metric} scores")
-        split = queries.reshape(len(queries), len(words), -1) if queries.size else np.empty((0, *words.shape[::2]))
-        dots = np.einsum("qsw,scw->scq", split, words)
-        self.sizes = (words * words).sum(axis=2)  # sub, code
-        if metric == "L2":
-            self.tables = (split * split).sum(axis=2).T[:, None, :] + self.sizes[:, :, None] - 2 * dots
+        self.words, self.sizes = words, (words * words).sum(axis=2)  # sub, code
+
+    def _prepared(self, members, width):
+        words, queries = self.words, self.queries[members]
+        split = queries.reshape(len(queries), len(words), -1)
+        tables = np.einsum("qsw,scw->scq", split, words, optimize=True)
+        if self.metric == "L2":
+            tables = (split * split).sum(axis=2).T[:, None, :] + self.sizes[:, :, None] - 2 * tables
             # sums of squares lose digits near zero: small entries are taken from differences
-            for s, c, q in np.argwhere(self.tables < 1e-6 * (1 + self.sizes[:, :, None])):
-                gap = split[q, s] - words[s, c]
-                self.tables[s, c, q] = gap @ gap
+            s, c, q = np.nonzero(tables < 1e-6 * (1 + self.sizes[:, :, None]))
+            gap = split[q, s] - words[s, c]
+            tables[s, c, q] = np.einsum("ij,ij->i", gap, gap)
         else:
-            self.tables = -dots
-        if metric == "COSINE":
+            tables = -tables
+        if self.metric == "COSINE":
             norms = np.sqrt((queries * queries).sum(1))
-            self.tables = np.divide(self.tables, norms, out=np.full_like(self.tables, np.inf), where=norms > 0)
-
-    def _offer_block(self, ids, base, members):
-        tables = self.tables[:, :, members]
-        at = [base[:, s] for s in range(len(tables))]
+            tables = np.divide(tables, norms, out=np.full_like(tables, np.inf), where=norms > 0)
         codes = tables.shape[1]
-        if len(base) >= 2 * codes * codes and len(tables) % 2 == 0:
+        paired = width >= 2 * codes * codes and len(tables) % 2 == 0
+        if paired:
             tables = (tables[0::2, :, None, :] + tables[1::2, None, :, :]).reshape(len(tables) // 2, codes * codes, -1)
-            at = [a.astype(np.int64) * codes + b for a, b in zip(at[0::2], at[1::2], strict=True)]
+        return np.ascontiguousarray(tables), paired
+
+    def _offer_block(self, ids, base, members, ready):
+        tables, paired = ready
+        at = [base[:, s] for s in range(base.shape[1])]
+        if paired:
+            at = [a.astype(np.int64) * self.words.shape[1] + b for a, b in zip(at[0::2], at[1::2], strict=True)]
         total = tables[0][at[0]]
         for table, place in zip(tables[1:], at[1:], strict=True):
             total += table[place]
-        if self.metric == "L2":
-            total = np.sqrt(np.maximum(total, 0.0))
-        elif self.metric == "COSINE":
+        if self.metric == "COSINE":
             size = np.sqrt(sum(own[base[:, s]] for s, own in enumerate(self.sizes)))
             with np.errstate(divide="ignore", invalid="ignore"):
                 total = np.where(size[:, None] > 0, total / size[:, None], np.inf)
-        scores = np.round(total.T, DIGITS) + 0.0
-        scores[~np.isfinite(scores)] = np.inf
-        limit = self.worst[members]
-        if scores.shape[1] >= self.k:
-            limit = np.minimum(limit, np.partition(scores, self.k - 1, axis=1)[:, self.k - 1])
-        qi, bi = np.nonzero((scores <= limit[:, None]) & np.isfinite(scores))
+        squared = self.metric == "L2"
+        costs = np.ascontiguousarray(total.T)
+        qi, bi = self._near(costs, members, np.ones(len(members)), squared)
         if len(qi):
-            self._pending.append((members[qi], scores[qi, bi], ids[bi]))
+            found = costs[qi, bi]
+            self._wait(members[qi], np.sqrt(np.maximum(found, 0.0)) if squared else found, ids[bi])
 
 
 def pair_scores(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:

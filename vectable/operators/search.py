@@ -24,8 +24,10 @@ from pyspark.sql import types as T
 from vectable import session
 from vectable.functions import topk
 
-BASE_CELL_BYTES = 32 * 1024 * 1024
-QUERY_CELL_BYTES = 8 * 1024 * 1024
+BASE_CELL_BYTES = 16 * 1024 * 1024
+QUERY_CELL_BYTES = 16 * 1024 * 1024
+FOUND_BYTES = 24  # query, id and score of a row that is kept
+EMIT_ROWS = 100_000
 MAX_LISTED_KEYS = 1000
 TASKS_PER_CORE = 4
 TASK_BYTES = 1024 * 1024 * 1024
@@ -48,12 +50,14 @@ def _result_schema(base: DataFrame, queries: DataFrame) -> str:
     return f"query_id {qid}, id {bid}, score double"
 
 
-def _emit(best: topk.Best, query_ids: pa.Array, id_type: pa.DataType) -> pa.RecordBatch:
+def _emit(best: topk.Best, query_ids: pa.Array, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     q, ids, score = best.rows()
-    return pa.RecordBatch.from_arrays(
-        [query_ids.take(pa.array(q)), pa.array(ids.tolist(), id_type), pa.array(score)],
-        names=["query_id", "id", "score"],
-    )
+    for at in range(0, max(len(q), 1), EMIT_ROWS):
+        some = slice(at, at + EMIT_ROWS)
+        yield pa.RecordBatch.from_arrays(
+            [query_ids.take(pa.array(q[some])), pa.array(ids[some].tolist(), id_type), pa.array(score[some])],
+            names=["query_id", "id", "score"],
+        )
 
 
 def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool, kind) -> DataFrame:
@@ -88,7 +92,7 @@ def _stream_past(base, block: pa.Table, k, metric, decode, schema, keyed: bool,
                         best.offer(ids[at], rows[at], members[key])
             best.settle()
         if id_type is not None:
-            yield _emit(best, query_ids, id_type)
+            yield from _emit(best, query_ids, id_type)
 
     columns = ["id", "vector"] + (["key"] if keyed else [])
     # Few long tasks rather than one per split, as each emits k rows per query; but
@@ -102,7 +106,7 @@ def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool, kind
     """Base and queries met in bounded cells (key, base part, query part)."""
     bits = metric in ("HAMMING", "JACCARD")
     base_rows = max(1, BASE_CELL_BYTES // (8 * dim))
-    query_rows = max(1, QUERY_CELL_BYTES // (8 * dim))
+    query_rows = max(1, QUERY_CELL_BYTES // (8 * dim + FOUND_BYTES * k))
     if keyed:
         queries = queries.withColumn("key", F.explode("keys"))
     else:
@@ -144,7 +148,7 @@ def _cells(base, queries, k, metric, decode, schema, dim: int, keyed: bool, kind
         best = kind(matrix, k, metric)
         if rows.num_rows and asked.num_rows:
             best.offer(topk.keys(rows.column("id")), decode(rows.column("vector")))
-        return pa.Table.from_batches([_emit(best, block, id_type)])
+        return pa.Table.from_batches(_emit(best, block, id_type))
 
     grid = ["key", "bp", "qp"]
     return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInArrow(cell, schema)
@@ -193,7 +197,8 @@ def search(
         return top_ranked(empty, max(k, 1), metric)
     dim = dim_of_most * (64 if bits else 1)
     base = session.spread(base)
-    if shape["n"] * dim * 8 + shape["n_keys"] * 64 <= broadcast_bytes:
+    # Every task holds the queries and, for each, the k rows kept.
+    if shape["n"] * (dim * 8 + k * FOUND_BYTES) + shape["n_keys"] * 64 <= broadcast_bytes:
         columns = ["query_id", "vector"] + (["keys"] if keyed else [])
         block = queries.select(*columns).toArrow()
         scored = _stream_past(base, block, k, metric, decode, schema, keyed, kind)
