@@ -12,7 +12,8 @@ from vectable.operators.sparse import term_join
 
 def token_postings(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
     """(token, id, positions): where each token stands in each text, from 0."""
-    texts = session.spread(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")))
+    # The texts are dealt by id, so their many more places are grouped without a further shuffle.
+    texts = session.by_key(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")), "id")
     places = placed_per_row(texts, tokens("_text"), "id", name="token")
     return places.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
