@@ -81,7 +81,7 @@ def lsh_candidates(sig: DataFrame, num_hash: int = NUM_HASH, bands: int = BANDS)
     first_id (or one is the other's). So the links say what all pairs would
     say, in at most ``bands`` rows per signature.
     """
-    banded = band_keys(sig, num_hash, bands)
+    banded = session.stored(band_keys(sig, num_hash, bands), "bands")  # read for the buckets and for their members
     links = banded.join(_buckets(banded), ["band", "key"]).filter(F.col("id") != F.col("first"))
     return links.select("band", F.col("first").alias("first_id"), "id").distinct()
 
