@@ -126,11 +126,14 @@ def near_duplicates(
     folded = marked.groupBy("mark1", "mark2").agg(F.min("id").alias("rep"))
     copies = session.stored(marked.join(folded, ["mark1", "mark2"]).select("id", "rep"), "copies")
     own = sets.join(copies.filter(F.col("id") == F.col("rep")).select("id"), "id", "left_semi")
+    own = session.stored(own, "own")
     hashed = one_per_row(own, "shingles", "id", name="s").select("id", F.shiftright("s", 32).alias("h"))
     signed = _signatures(hashed, num_hash).join(own.select("id", F.size("shingles").alias("size")), "id")
     banded = session.stored(band_keys(signed, num_hash, bands), "bands")
     members = banded.join(_buckets(banded).select("band", "key", "n"), ["band", "key"])
     members = session.stored(members.select("band", "key", "id", "size", "n"), "members")
+    # Every round below deals the sets by id: only those of texts that share a bucket are needed.
+    own = session.stored(own.join(members.select("id").distinct(), "id", "left_semi"), "own")
     if not members.filter(F.col("n") > HOT_MEMBERS).isEmpty():
         members = session.stored(_cut_buckets(own, members, threshold), "members")
     best = _earliest(own, members, threshold)
