@@ -104,9 +104,30 @@ def runs(sorted_: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(sorted_) else np.empty(0, np.int64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The different values in order; by sorting, which costs less here than the hash table of ``np.unique``."""
+    values = np.sort(values)
+    return values[runs(values)]
+
+
+def stable_order(keys: np.ndarray, most: int) -> np.ndarray:
+    """Stable order of whole ``keys`` from 0 to ``most``: short ones by radix, others sorted together with their places where 63 bits hold both."""
+    if most < 1 << 16:
+        return np.argsort(keys.astype(np.uint16), kind="stable")
+    bits = len(keys).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.argsort(keys, kind="stable")
+    placed = keys.astype(np.int64)
+    placed <<= bits
+    placed |= np.arange(len(keys))
+    placed.sort()
+    placed &= (1 << bits) - 1
+    return placed
+
+
 def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys in order, and for each the sums of the values."""
-    order = np.argsort(keys, kind="stable")
+    """Distinct keys in order, and for each the sums of the values, which are whole numbers: they are added in no fixed order."""
+    order = np.argsort(keys)
     keys = keys[order]
     first = runs(keys)
     return (keys[first], *(np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values))

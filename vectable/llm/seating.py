@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectable.llm.arrow import slices
-from vectable.llm.packed import SCHEMA, Row, batches_of, by_kind, each, grouped, pack, rows_of, runs, summed, unpack
+from vectable.llm.packed import SCHEMA, Row, batches_of, by_kind, distinct, each, grouped, pack, rows_of, runs, stable_order, summed, unpack
 from vectable.llm.registry import written
 from vectable.llm.words import VALUE, mix, prefix_sums, span_hashes
 
@@ -325,7 +325,7 @@ def discount_of(once: int, twice: int) -> float:
 
 def split(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """(key, places of it in order) of each key."""
-    order = np.argsort(keys, kind="stable")
+    order = stable_order(keys, int(keys.max(initial=0)))
     first = runs(keys[order])
     for a, b in zip(first, np.append(first, len(keys))[1:], strict=True):
         yield int(keys[order[a]]), order[a:b]
@@ -353,15 +353,21 @@ class Pairs:
     def packed(self, corpus: Corpus, at: np.ndarray, **more: np.ndarray) -> bytes:
         first = runs(self.u[at])
         sizes = np.diff(np.append(first, len(at)))
-        used, place = np.unique(np.concatenate([self.u[at][first], self.w[at]]), return_inverse=True)
-        place = place.astype(np.int32)
+        held = np.concatenate([self.u[at][first], self.w[at]])
+        if len(self.words) < 32 * len(held):  # few enough to mark those that are used
+            marks = np.zeros(len(self.words), bool)
+            marks[held] = True
+            used, place = np.flatnonzero(marks), (np.cumsum(marks, dtype=np.int32) - 1)[held]
+        else:
+            used, place = np.unique(held, return_inverse=True)
+        place = place.astype(np.int32, copy=False)
         return pack(**corpus.code("words", self.words[used]), u=place[: len(first)], size=sizes.astype(np.int32), w=place[len(first) :], **more)
 
 
 def pairs_of(corpus: Corpus, rows: list[dict[str, np.ndarray]], *values: str) -> tuple[Pairs, list[np.ndarray]]:
     """The pairs of some packed rows, their ``values`` summed; and the place of each row's pairs among them."""
     held = [corpus.words_in(r, "words") for r in rows]
-    words = np.unique(np.concatenate([np.empty(0, np.uint64), *held]))
+    words = distinct(np.concatenate([np.empty(0, np.uint64), *held]))
     keys, n = [], np.int64(max(1, len(words)))
     for r, own in zip(rows, held, strict=True):
         at = np.searchsorted(words, own)
@@ -379,7 +385,7 @@ def block_pairs(block: Block) -> tuple[Pairs, np.ndarray, np.ndarray]:
     u[1:] = w[:-1]
     u[block.first] = at[-1]
     key = u * len(words) + w
-    order = np.argsort(key, kind="stable")
+    order = stable_order(key, len(words) ** 2)
     first = runs(key[order])
     return Pairs(words, u[order[first]], w[order[first]], None), order, first
 
@@ -415,8 +421,8 @@ def count_pairs(source: DataFrame, corpus: Corpus) -> dict[str, DataFrame]:
         for row in up(known, key, pairs.words[w], (c == 1).astype(np.int64)):
             yield row[0], "fixed", row[2], row[3]
         yield from up(known, key, pairs.words[w], (c > 1).astype(np.int64))
-        yield from asked(known, key, "ask", pairs.words[np.unique(w)])
-        yield from asked(known, key, "ask_many", pairs.words[np.unique(w[many])])
+        yield from asked(known, key, "ask", pairs.words[distinct(w)])
+        yield from asked(known, key, "ask_many", pairs.words[distinct(w[many])])
         yield int((c == 1).sum()), "ones", int((c == 2).sum()), None
         for h, t in zip(at[apart].tolist(), np.add.reduceat((c > 0).astype(np.int64), first)[apart].tolist(), strict=True):
             yield h, "heavy", t, None
@@ -741,8 +747,8 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         for row, part, place in zip(kinds["texts"], parts, places, strict=True):
             pair = np.repeat(place, part["texts"])
             w = pairs.w[pair]
-            doc, used = np.unique(part["doc"], return_inverse=True)
-            sums = [np.bincount(used, part["n"] * x, len(doc)) for x in (log[pair], share[w], seen[w])]
+            doc = np.flatnonzero(np.bincount(part["doc"]))
+            sums = [np.bincount(part["doc"], part["n"] * x)[doc] for x in (log[pair], share[w], seen[w])]
             yield row[2], "part", key, pack(doc=doc.astype(np.int32), score=sums[0], base=sums[1], known=sums[2].astype(np.int64))
 
     kind = docs.schema[doc_id].dataType
