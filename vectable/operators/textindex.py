@@ -22,6 +22,8 @@ from vectable.operators.textsearch import token_postings
 BUCKETS = 64
 #: Terms that are named in the filter of a scan; more are only joined.
 LISTED_TERMS = 2000
+#: Stored bytes of the postings that one task sorts.
+SORTED_BYTES = 4 * 1024 * 1024
 
 
 @dataclass(frozen=True)
@@ -43,9 +45,9 @@ def write_index(df: DataFrame, col: str, path: str, id_col: str = "id", buckets:
         raise ValueError("at least one bucket")
     rows = token_postings(df, col, id_col).withColumn("bucket", bucket_of(F.col("token"), buckets))
     rows = session.stored(rows, "postings")
+    wide = max(min(buckets, session.width(rows)), session.width(rows, SORTED_BYTES))
     terms = rows.groupBy("bucket", "token").agg(F.count("*").alias("rows"))
-    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    files = min(buckets, width)
+    files = min(buckets, session.width(df))
     terms.repartition(files, "bucket").sortWithinPartitions("bucket", "token").write.partitionBy("bucket").parquet(f"{path}/terms")
     counts = df.sparkSession.read.schema("bucket int, token string, rows bigint").parquet(f"{path}/terms")
     hot = counts.filter(F.col("rows") > HOT_POSTINGS)
@@ -53,8 +55,10 @@ def write_index(df: DataFrame, col: str, path: str, id_col: str = "id", buckets:
     # Every hot term has more than HOT_POSTINGS rows, so there are few of them.
     rows = rows.join(session.broadcast_checked(hot, MAX_BROADCAST_TERMS), "token", "left")
     part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1).cast("bigint")))
-    dealt = rows.withColumn("part", part).drop("parts").repartition(max(files, width), "bucket", "part")
-    ordered = dealt.drop("part").sortWithinPartitions("bucket", "token", "id")
+    # A bucket goes to several tasks, by token, where one would have more than SORTED_BYTES of it.
+    share = F.pmod(F.xxhash64("token", F.lit(1)), F.lit(-(-wide // buckets)))
+    dealt = rows.withColumn("part", part).withColumn("share", share).drop("parts").repartition(wide, "bucket", "share", "part")
+    ordered = dealt.drop("part", "share").sortWithinPartitions("bucket", "token", "id")
     ordered.select("bucket", "token", "id", "positions").write.partitionBy("bucket").parquet(f"{path}/postings")
     kind = df.schema[id_col].dataType.simpleString()
     about = df.sparkSession.range(1).select(F.lit(buckets).alias("buckets"), F.lit(kind).alias("id"))

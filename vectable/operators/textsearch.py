@@ -9,11 +9,13 @@ from vectable import session
 from vectable.functions.text import one_per_row, placed_per_row, tokens
 from vectable.operators.sparse import term_join
 
+TEXT_BYTES = 2 * 1024 * 1024  # estimated bytes of the texts whose places one task groups
+
 
 def token_postings(df: DataFrame, col: str, id_col: str = "id") -> DataFrame:
     """(token, id, positions): where each token stands in each text, from 0."""
     # The texts are dealt by id, so their many more places are grouped without a further shuffle.
-    texts = session.by_key(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")), "id")
+    texts = session.by_key(df.select(F.col(id_col).alias("id"), F.col(col).alias("_text")), "id", each=TEXT_BYTES)
     places = placed_per_row(texts, tokens("_text"), "id", name="token")
     return places.groupBy("token", "id").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 

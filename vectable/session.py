@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 DEFAULT_BATCH = "67108864b"  # fixed value: the session's default
+KNOWN_BYTES = 1 << 50  # estimates beyond are those of tables of unknown size
 
 
 _shipped: set[str] = set()
@@ -98,13 +99,20 @@ def spread(df: DataFrame, *, floor: int = 128 * 1024 * 1024) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def by_key(df: DataFrame, *cols: str) -> DataFrame:
-    """Hash-partition at the session's full shuffle width.
+def width(df: DataFrame, each: int | None = None) -> int:
+    """The session's shuffle width; with ``each``, more where partitions would hold more than so many estimated bytes."""
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = 0 if each is None else estimated_bytes(df)
+    return max(own, -(-held // each)) if 0 < held < KNOWN_BYTES else own
+
+
+def by_key(df: DataFrame, *cols: str, each: int | None = None) -> DataFrame:
+    """Hash-partition at the session's full shuffle width, or as wide as ``width`` says of ``each``.
 
     For rows that multiply or are scored after the shuffle: adaptive execution
     would merge the partitions by their bytes and leave few tasks with the work.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *cols)
+    return df.repartition(width(df, each), *cols)
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
