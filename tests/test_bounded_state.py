@@ -51,6 +51,27 @@ def test_tables_are_built_for_few_queries_at_a_time():
     assert ids[q == 77].tolist() == np.lexsort((np.arange(500), exact))[:5].tolist()
 
 
+@pytest.mark.parametrize("metric", ["L2", "COSINE", "IP"])
+def test_coded_scores_are_held_once(metric):
+    """A block of coded rows is scored in its place: beside its scores there is one copy, to select from."""
+    drawn = np.random.default_rng(3)
+    words, asked = drawn.normal(size=(4, 10, 2)), drawn.normal(size=(topk._QUERIES, 8))
+    codes = drawn.integers(0, 10, size=(topk._CELLS // topk._QUERIES, 4)).astype(np.uint8)
+    (q, ids, score), held = peak_of(topk.TableBest(asked, 5, metric, words), np.arange(len(codes)), codes)
+    assert held < 2.6 * 8 * topk._CELLS
+    rebuilt = np.concatenate([words[s][codes[:, s]] for s in range(4)], axis=1)
+    for at in (0, 100, len(asked) - 1):
+        exact = rebuilt @ asked[at]
+        if metric == "L2":
+            exact = np.sqrt(((rebuilt - asked[at]) ** 2).sum(1))
+        elif metric == "COSINE":
+            exact = exact / np.sqrt((rebuilt * rebuilt).sum(1)) / np.sqrt(asked[at] @ asked[at])
+        exact = np.round(exact, 6) + 0.0
+        order = np.lexsort((np.arange(len(codes)), exact if metric == "L2" else -exact))[:5]
+        assert ids[q == at].tolist() == order.tolist()
+        assert score[q == at].tolist() == exact[order].tolist()
+
+
 def test_copies_at_the_last_place_do_not_wait():
     """Of rows that are all alike only those of smaller ids than the kept ones come in."""
     best = topk.Best(np.zeros((300, 4)), 3, "L2")

@@ -14,6 +14,7 @@ DIGITS = 6
 ASCENDING = {"L2": True, "HAMMING": True, "COSINE": False, "IP": False, "JACCARD": False, "AGREEMENT": False}
 _CELLS = 1_000_000  # score-matrix entries held at a time
 _QUERIES = 256  # queries scored at a time
+_ADDED = 64  # coded rows whose table entries are added up at a time
 _PENDING = 500_000  # candidates held, beside the rows kept, before they are merged
 _VALUES = 16_000_000  # vector values held at a time when re-scoring by differences
 
@@ -120,7 +121,7 @@ class Best:
             nth = least[:, self.k - 1]
             limit = np.minimum(limit, (np.sqrt(np.maximum(nth, 0.0)) if squared else nth) + slack)
             near = costs <= (limit * limit if squared else limit)[:, None]
-        qi, bi = np.nonzero(near)
+        qi, bi = np.divmod(np.flatnonzero(near), near.shape[1])
         finite = np.isfinite(costs[qi, bi])
         return (qi, bi) if finite.all() else (qi[finite], bi[finite])
 
@@ -257,15 +258,19 @@ class TableBest(Best):
         at = [base[:, s] for s in range(base.shape[1])]
         if paired:
             at = [a.astype(np.int64) * self.words.shape[1] + b for a, b in zip(at[0::2], at[1::2], strict=True)]
-        total = tables[0][at[0]]
-        for table, place in zip(tables[1:], at[1:], strict=True):
-            total += table[place]
+        costs = np.empty((len(members), len(base)))
+        for first in range(0, len(base), _ADDED):  # few rows at a time, so that their sums stay in the cache
+            some = slice(first, first + _ADDED)
+            total = tables[0][at[0][some]]
+            for table, place in zip(tables[1:], at[1:], strict=True):
+                total += table[place[some]]
+            costs[:, some] = total.T
         if self.metric == "COSINE":
             size = np.sqrt(sum(own[base[:, s]] for s, own in enumerate(self.sizes)))
             with np.errstate(divide="ignore", invalid="ignore"):
-                total = np.where(size[:, None] > 0, total / size[:, None], np.inf)
+                costs /= size
+            costs[:, ~(size > 0)] = np.inf
         squared = self.metric == "L2"
-        costs = np.ascontiguousarray(total.T)
         qi, bi = self._near(costs, members, np.ones(len(members)), squared)
         if len(qi):
             found = costs[qi, bi]
