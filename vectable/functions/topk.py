@@ -17,6 +17,7 @@ _QUERIES = 256  # queries scored at a time
 _ADDED = 64  # coded rows whose table entries are added up at a time
 _PENDING = 500_000  # candidates held, beside the rows kept, before they are merged
 _VALUES = 16_000_000  # vector values held at a time when re-scoring by differences
+_PAIR_VALUES = 2_000_000  # the same for pairs of neighbouring rows
 
 
 def check_metric(metric: str) -> str:
@@ -218,6 +219,49 @@ def nearest_one(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
+def near_pairs(rows: np.ndarray, sizes: np.ndarray, limits: np.ndarray, m: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, other row, cost): the ``m`` best others of each row in its own group, of a cost within its limit.
+
+    Groups are runs of ``sizes`` rows; callers bound them. Costs are rounded scores, smaller is better; ties go to the
+    row that comes first. A row itself takes one of ``m`` + 1 places where it is among these. Rows that are not finite take no part.
+    """
+    squared = metric == "L2"
+    norms = np.sqrt((rows * rows).sum(1)) if rows.size else np.zeros(len(rows))
+    slack = 2e-6 * (1 + norms[np.isfinite(norms)].max(initial=0.0)) if squared else 2e-6
+    open_to = limits + slack
+    if squared:
+        open_to = np.where(open_to < 0, -np.inf, open_to * open_to)
+    src, dst, cost = [], [], []
+    with np.errstate(invalid="ignore", over="ignore"):
+        for first, size in zip(np.cumsum(sizes) - sizes, sizes, strict=True):
+            some = slice(first, first + size)
+            costs = _score_matrix(rows[some], rows[some], metric)
+            at = np.flatnonzero(costs <= open_to[some, None])
+            qi, bi = np.divmod(at, size)
+            src.append(first + qi)
+            dst.append(first + bi)
+            if not squared:
+                cost.append(costs.ravel()[at])
+        src, dst = (np.concatenate(x) if x else np.empty(0, int) for x in (src, dst))
+        if squared:  # the matrix form loses digits near zero: scored by differences
+            exact = np.empty(len(src))
+            step = max(1, _PAIR_VALUES // max(1, rows.shape[1]))
+            for at in range(0, len(src), step):
+                gap = rows[src[at : at + step]] - rows[dst[at : at + step]]
+                exact[at : at + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+        else:
+            exact = np.concatenate(cost) if cost else np.empty(0)
+    exact = np.round(exact, DIGITS) + 0.0
+    keep = np.isfinite(exact) & (exact <= limits[src])
+    src, dst, exact = src[keep], dst[keep], exact[keep]
+    order = np.lexsort((dst, exact, src))
+    src, dst, exact = src[order], dst[order], exact[order]
+    first = np.flatnonzero(np.r_[True, src[1:] != src[:-1]]) if len(src) else np.empty(0, int)
+    rank = np.arange(len(src)) - np.repeat(first, np.diff(np.r_[first, len(src)]))
+    keep = (rank <= m) & (src != dst)
+    return src[keep], dst[keep], exact[keep]
+
+
 class TableBest(Best):
     """``Best`` over code bytes: a row's score is looked up, not computed.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 * 1024 * 1024
 BATCH_BYTES = 8 * 1024 * 1024
 DEFAULT_BATCH = "67108864b"  # fixed value: the session's default
+SWEEP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 KNOWN_BYTES = 1 << 50  # estimates beyond are those of tables of unknown size
 
 
@@ -71,6 +72,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def swept(df: DataFrame) -> DataFrame:
+    """``cut`` for the rounds of a loop: the shuffle files of a round are removed at its end.
+
+    They would else stay until the driver's garbage is collected, and the disk would fill with the number of rounds.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get(SWEEP, None)
+    conf.set(SWEEP, "true")
+    try:
+        return cut(df.select("*"))  # a new DataFrame takes the setting; the shuffles of ``df`` itself are its own
+    finally:
+        conf.unset(SWEEP) if before is None else conf.set(SWEEP, before)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: columnar, with its real size known."""
     path = f"{checkpoint_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
