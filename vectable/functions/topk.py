@@ -14,10 +14,11 @@ DIGITS = 6
 ASCENDING = {"L2": True, "HAMMING": True, "COSINE": False, "IP": False, "JACCARD": False, "AGREEMENT": False}
 _CELLS = 1_000_000  # score-matrix entries held at a time
 _QUERIES = 256  # queries scored at a time
+_FIRST = 1024  # rows of the first block, from which a group of queries takes its first limits; the next ones double
+_ROUNDING = 2.0**-24  # of single precision
 _ADDED = 64  # coded rows whose table entries are added up at a time
 _PENDING = 500_000  # candidates held, beside the rows kept, before they are merged
-_VALUES = 16_000_000  # vector values held at a time when re-scoring by differences
-_PAIR_VALUES = 2_000_000  # the same for pairs of neighbouring rows
+_VALUES = 2_000_000  # vector values held at a time when re-scoring by differences
 
 
 def check_metric(metric: str) -> str:
@@ -70,6 +71,36 @@ def _score_matrix(q: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     return -np.where(either > 0, dots / np.maximum(either, 1), 1.0)
 
 
+def _distances(q: np.ndarray, base: np.ndarray, qi: np.ndarray, bi: np.ndarray) -> np.ndarray:
+    """L2 distances of the pairs (q[qi], base[bi]), by differences."""
+    out = np.empty(len(qi))
+    step = max(1, _VALUES // max(1, q.shape[1]))
+    for at in range(0, len(qi), step):
+        gap = q[qi[at : at + step]] - base[bi[at : at + step]]
+        out[at : at + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+    return out
+
+
+def _true_places(flags: np.ndarray) -> np.ndarray:
+    """Places of the few true ones among ``flags``, whose number 8 divides: looked for eight at a time."""
+    words = np.flatnonzero(flags.view(np.uint64))
+    word, byte = np.nonzero(flags.reshape(-1, 8)[words])
+    return words[word] * 8 + byte
+
+
+def _merged(parts: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(query, score, id, rank from 0) of the k best of each query in ``parts`` (query, score, id); a row that comes twice counts once."""
+    q, score, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((ids, score, q))
+    q, score, ids = q[order], score[order], ids[order]
+    once = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])][: len(q)]
+    q, score, ids = q[once], score[once], ids[once]
+    first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]][: len(q)])
+    rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
+    keep = rank < k
+    return q[keep], score[keep], ids[keep], rank[keep]
+
+
 class Best:
     """Running k best base rows for each query of a block; a row offered twice counts once."""
 
@@ -95,6 +126,9 @@ class Best:
             ids, base = ids[fits], base[fits]
         if not len(members) or not len(ids):
             return
+        if self.metric == "L2" and type(self) is Best:
+            self._offer_near(ids, base, members)
+            return
         for first in range(0, len(members), _QUERIES):
             some = members[first : first + _QUERIES]
             width = max(1, _CELLS // len(some))
@@ -137,42 +171,74 @@ class Best:
 
     def _offer_block(self, ids, base, members, q):
         costs = _score_matrix(q, base, self.metric)
-        scale = np.ones(len(members))
-        if self.metric == "L2":
-            # The matrix form loses digits near zero: widen, then score by differences.
-            scale += np.maximum(self.norms[members], np.sqrt((base * base).sum(1).max()))
-        qi, bi = self._near(costs, members, scale, self.metric == "L2")
-        if not len(qi):
-            return
-        if self.metric == "L2":
-            exact = np.empty(len(qi))
-            step = max(1, _VALUES // q.shape[1])
-            for at in range(0, len(qi), step):
-                gap = q[qi[at : at + step]] - base[bi[at : at + step]]
-                exact[at : at + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
-        else:
-            exact = costs[qi, bi]
-        self._wait(members[qi], exact, ids[bi])
+        qi, bi = self._near(costs, members, np.ones(len(members)), False)
+        if len(qi):
+            self._wait(members[qi], costs[qi, bi], ids[bi])
+
+    def _offer_near(self, ids: np.ndarray, base: np.ndarray, members: np.ndarray):
+        """``offer`` by L2 distance: a product says which rows may be near, differences give their scores.
+
+        The product is of single precision once every query of a group has k rows, with limits widened by what
+        rounding can do, so it leaves out no row; a block in which it lets too many pass is taken in double precision.
+        """
+        center = base.mean(axis=0)
+        moved = base - center
+        sizes = (moved * moved).sum(1)
+        largest = np.sqrt((base * base).sum(1).max())  # rows nearer the origin than this
+        right = np.column_stack([-2 * moved, np.ones(len(moved)), sizes]).astype(np.float32)
+        del moved
+        width = min(len(ids), max(1, _CELLS // min(_QUERIES, len(members))))
+        held = min(_QUERIES, len(members)) * width
+        costs, flags = np.empty(held, np.float32), np.zeros(held + 8, bool)
+        for first in range(0, len(members), _QUERIES):
+            some = members[first : first + _QUERIES]
+            q, limit, kept, waiting = self.queries[some], self.worst[some], None, []
+            moved = q - center
+            own = (moved * moved).sum(1)
+            reach = max(own.max(), sizes.max())
+            error = 4 * (q.shape[1] + 8) * _ROUNDING * reach
+            left = np.column_stack([moved, own, np.ones(len(q))]).astype(np.float32)
+            scale = 1 + np.maximum(self.norms[some], largest)
+            start = 0
+            while start < len(ids):
+                known = np.isfinite(limit).all() and reach < 1e30
+                stop = min(len(ids), start + (width if start == 0 and (known or len(ids) <= width) else min(width, max(start, _FIRST))))
+                at = None
+                if known:
+                    cells = len(some) * (stop - start)
+                    block = np.matmul(left, right[start:stop].T, out=costs[:cells].reshape(len(some), -1))
+                    wide = np.nextafter(((limit + 2e-6 * scale) ** 2 + error).astype(np.float32), np.float32(np.inf))
+                    flags[cells : cells + 8] = False
+                    np.less_equal(block, wide[:, None], out=flags[:cells].reshape(len(some), -1))
+                    at = _true_places(flags[: -(-cells // 8) * 8])
+                if at is not None and len(at) <= max(2 * self.k * len(some), cells // 8):
+                    qi, bi = np.divmod(at, stop - start)
+                else:
+                    qi, bi = self._near(_score_matrix(q, base[start:stop], "L2"), some, scale, True)
+                score = np.round(_distances(q, base[start:stop], qi, bi), DIGITS) + 0.0
+                near = score <= limit[qi]
+                waiting.append((qi[near], score[near], ids[start:stop][bi[near]]))
+                start = stop
+                if start == len(ids) or kept is None or sum(len(w[0]) for w in waiting) > len(kept[0]):
+                    kept, waiting = _merged(waiting + ([kept] if kept is not None else []), self.k), []
+                    full = kept[3] == self.k - 1
+                    limit[kept[0][full]] = np.minimum(limit[kept[0][full]], kept[1][full])
+                    kept = kept[:3]
+            self._wait(some[kept[0]], kept[1], kept[2])
+            if self._waiting > max(_PENDING, 0 if self._kept is None else len(self._kept[0])):
+                self.settle()
 
     def settle(self):
         """Merge what was offered since the last call."""
         if not self._pending:
             return
-        parts = self._pending + ([self._kept] if self._kept is not None else [])
-        q, score, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
-        order = np.lexsort((ids, score, q))
-        q, score, ids = q[order], score[order], ids[order]
-        once = np.r_[True, (q[1:] != q[:-1]) | (score[1:] != score[:-1]) | (ids[1:] != ids[:-1])]
-        q, score, ids = q[once], score[once], ids[once]
-        first = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
-        keep = rank < self.k
+        q, score, ids, rank = _merged(self._pending + ([self._kept] if self._kept is not None else []), self.k)
         full = rank == self.k - 1
         self.worst[q[full]] = score[full]
         if ids.dtype.kind in "iu":
             self._last = np.zeros(len(self.queries), ids.dtype) if self._last is None else self._last
             self._last[q[full]] = ids[full]
-        self._kept, self._pending, self._waiting = (q[keep], score[keep], ids[keep]), [], 0
+        self._kept, self._pending, self._waiting = (q, score, ids), [], 0
 
     def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query index, id, score) of the k best, score in its natural sign."""
@@ -244,11 +310,7 @@ def near_pairs(rows: np.ndarray, sizes: np.ndarray, limits: np.ndarray, m: int,
                 cost.append(costs.ravel()[at])
         src, dst = (np.concatenate(x) if x else np.empty(0, int) for x in (src, dst))
         if squared:  # the matrix form loses digits near zero: scored by differences
-            exact = np.empty(len(src))
-            step = max(1, _PAIR_VALUES // max(1, rows.shape[1]))
-            for at in range(0, len(src), step):
-                gap = rows[src[at : at + step]] - rows[dst[at : at + step]]
-                exact[at : at + step] = np.sqrt(np.einsum("ij,ij->i", gap, gap))
+            exact = _distances(rows, rows, src, dst)
         else:
             exact = np.concatenate(cost) if cost else np.empty(0)
     exact = np.round(exact, DIGITS) + 0.0

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from vectable import session
 from vectable.functions import topk
 
-BASE_CELL_BYTES = 16 * 1024 * 1024
+BASE_CELL_BYTES = 32 * 1024 * 1024
 QUERY_CELL_BYTES = 16 * 1024 * 1024
 FOUND_BYTES = 24  # query, id and score of a row that is kept
 EMIT_ROWS = 100_000
@@ -52,10 +52,11 @@ def _result_schema(base: DataFrame, queries: DataFrame) -> str:
 
 def _emit(best: topk.Best, query_ids: pa.Array, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     q, ids, score = best.rows()
+    kept = ids if ids.dtype.kind in "iu" else ids.tolist()
     for at in range(0, max(len(q), 1), EMIT_ROWS):
         some = slice(at, at + EMIT_ROWS)
         yield pa.RecordBatch.from_arrays(
-            [query_ids.take(pa.array(q[some])), pa.array(ids[some].tolist(), id_type), pa.array(score[some])],
+            [query_ids.take(pa.array(q[some])), pa.array(kept[some], id_type), pa.array(score[some])],
             names=["query_id", "id", "score"],
         )
 
